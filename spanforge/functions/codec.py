@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 GROUP = re.compile(r"([ACGTUN])([+-])([a-z]+|[0-9]+)([.?]?)((?:,[0-9]+)*);?")
 
@@ -79,13 +80,17 @@ def emit_mm_text(marks: list[tuple[str, str, str, int, int]], seq: str) -> tuple
     return "".join(mm), ml
 
 
-@pandas_udf("array<struct<code:string,strand:string,pos:int,qual:int>>")
+MARKS = ArrayType(StructType([StructField("code", StringType()), StructField("strand", StringType()), StructField("pos", IntegerType()), StructField("qual", IntegerType())]))
+TAGS = StructType([StructField("mm", StringType()), StructField("ml", ArrayType(IntegerType()))])
+
+
+@pandas_udf(MARKS)
 def parse_mm(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for mm, ml, seq in batches:
         yield pd.Series([[{"code": c, "strand": s, "pos": p, "qual": q} for c, s, p, q in parse_mm_text(m or "", list(a) if a is not None else [], t or "")] for m, a, t in zip(mm, ml, seq)])
 
 
-@pandas_udf("struct<mm:string,ml:array<int>>")
+@pandas_udf(TAGS)
 def emit_mm(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for marks, seq in batches:
         made = [emit_mm_text([(x["base"], x["strand"], x["code"], x["pos"], x["qual"]) for x in (m if m is not None else [])], t or "") for m, t in zip(marks, seq)]

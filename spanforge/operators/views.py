@@ -10,6 +10,10 @@ from spanforge.functions.scalars import revcomp
 from spanforge.operators.intervals import overlap_join, point_join
 
 
+def text_of(field: str, end: str = ""):
+    return lambda x: F.concat(x[field].cast("string"), F.lit(end))
+
+
 def center_long(annotations: DataFrame, centers: DataFrame, dist: int | None = None) -> DataFrame:
     """Lifted elements of fibers over each center, relative to it; '-' centers flip. ``dist`` bounds the distance.
 
@@ -31,7 +35,7 @@ def center_wide(annotations: DataFrame, centers: DataFrame, dist: int | None = N
     for k in kinds:
         items = F.array_sort(F.collect_list(F.when(F.col("type") == k, F.struct("centered_start", "centered_end"))))
         for field in ("centered_start", "centered_end"):
-            lists.append(F.array_join(F.transform(items, lambda x, f=field: x[f].cast("string")), ",").alias(f"{k}_{field.split('_')[1]}s"))
+            lists.append(F.array_join(F.transform(items, text_of(field)), ",").alias(f"{k}_{field.split('_')[1]}s"))
     return rows.groupBy("chrom", "center_id", "pos", "center_strand", "fiber_id").agg(*lists)
 
 
@@ -103,7 +107,7 @@ def extract_all(fibers: DataFrame, annotations: DataFrame, kinds: tuple[str, ...
     for k in kinds:
         items = F.array_sort(F.collect_list(F.when(F.col("type") == k, F.struct("q_start", "length", "qual", F.coalesce("r_start", F.lit(-1).cast("bigint")).alias("ref")))))
         for field, name in (("q_start", "starts"), ("length", "lengths"), ("qual", "quals"), ("ref", "ref_starts")):
-            text = F.array_join(F.transform(items, lambda x, f=field: F.concat(x[f].cast("string"), F.lit(","))), "")
+            text = F.array_join(F.transform(items, text_of(field, ",")), "")
             lists.append(F.when(F.size(items) == 0, ".").otherwise(text).alias(f"{k}_{name}"))
     wide = annotations.groupBy("fiber_id").agg(*lists)
     names = [c for c in wide.columns if c != "fiber_id"]
