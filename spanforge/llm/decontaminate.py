@@ -37,33 +37,45 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Tokens(dict):
-    """token -> (hash of its lower case, kind); bounded."""
+    """token -> its number in ``hashes`` (of its lower case) and ``kinds``; bounded."""
 
-    MOST = 500_000
+    MOST = 1_500_000
 
-    def __missing__(self, token: str) -> tuple[int, int]:
+    def __init__(self):
+        super().__init__()
+        self.hashes, self.kinds = np.zeros(self.MOST, np.uint64), np.zeros(self.MOST, np.int8)
+
+    def __missing__(self, token: str) -> int:
         import xxhash
 
-        if len(self) >= self.MOST:
+        low, number = token.lower(), len(self)
+        self.kinds[number] = STOP if token in ".!?:;\n" else NUMBER if any(c.isdigit() for c in token) else NAME if token[0].isupper() and token[1:] == low[1:] and len(token) > 1 else UNIT if low in UNITS else WORD
+        self.hashes[number] = xxhash.xxh3_64_intdigest(low)
+        self[token] = number
+        return number
+
+    def of(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and kinds; all is forgotten first if these might not fit."""
+        if len(self) + len(tokens) > self.MOST:
             self.clear()
-        low = token.lower()
-        kind = STOP if token in ".!?:;\n" else NUMBER if any(c.isdigit() for c in token) else NAME if token[0].isupper() and token[1:] == low[1:] and len(token) > 1 else UNIT if low in UNITS else WORD
-        self[token] = value = (xxhash.xxh3_64_intdigest(low), kind)
-        return value
+            if len(tokens) > self.MOST:
+                parts = [self.of(tokens[k : k + self.MOST]) for k in range(0, len(tokens), self.MOST)]
+                return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        numbers = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        return self.hashes[numbers], self.kinds[numbers]
 
 
 _TOKENS = Tokens()
 
 
-def canonical(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of all texts without stops, their template hashes, their slot kind (WORD: none) and text number."""
+def canonical(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of all texts, the places of those that aren't stops, and of these the template hashes, their slot kind (WORD: none) and text number."""
     lists = [TOKEN.findall(t) for t in texts]
     tokens = [t for ts in lists for t in ts]
     text = np.repeat(np.arange(len(texts)), [len(ts) for ts in lists])
     if not tokens:
-        return [], np.zeros(0, np.uint64), np.zeros(0, int), text
-    pairs = list(map(_TOKENS.__getitem__, tokens))
-    hashes, kinds = np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs])
+        return [], np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, int), text
+    hashes, kinds = _TOKENS.of(tokens)
     first = np.r_[True, (kinds[:-1] == STOP) | (text[1:] != text[:-1])]
     kinds[first & (kinds == NAME)] = WORD
     after_number = np.r_[False, (kinds[:-1] == NUMBER) & (text[1:] == text[:-1])]
@@ -72,7 +84,7 @@ def canonical(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.n
     hashes, kinds, text = hashes[keep], kinds[keep], text[keep]
     slot = kinds != WORD
     hashes[slot] = kinds[slot].astype(np.uint64)
-    return [t for t, k in zip(tokens, keep.tolist()) if k], hashes, kinds, text
+    return tokens, np.flatnonzero(keep), hashes, kinds, text
 
 
 def windows(hashes: np.ndarray, kinds: np.ndarray, text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +117,7 @@ def window_rows(rows: DataFrame, width: int, bitmap: np.ndarray | None) -> DataF
                     text_rows.append((at, i + 1))
                     at, chars = i + 1, 0
             for a, b in text_rows:
-                tokens, hashes, kinds, text = canonical([v or "" for v in values[a:b]])
+                tokens, places, hashes, kinds, text = canonical([v or "" for v in values[a:b]])
                 heads = np.searchsorted(text, np.arange(b - a + 1))
                 first, keys = windows(hashes, kinds, text, width)
                 if passes is not None:
@@ -113,8 +125,8 @@ def window_rows(rows: DataFrame, width: int, bitmap: np.ndarray | None) -> DataF
                     hit = (passes[bit >> 3] >> (bit & 7)) & 1 > 0
                     first, keys = first[hit], keys[hit]
                 owner = text[first]
-                total = np.bincount(text[windows(hashes, kinds, text, width)[0]] if passes is None else owner, minlength=b - a)
-                slots = [[f"{kinds[k]}{tokens[k].lower()}" for k in range(f, f + width) if kinds[k] != WORD] for f in first.tolist()]
+                total = np.bincount(owner, minlength=b - a)  # of all windows, for the benchmark
+                slots = [[f"{kinds[k]}{tokens[places[k]].lower()}" for k in range(f, f + width) if kinds[k] != WORD] for f in first.tolist()]
                 pick = pa.array(owner + a)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pick), batch.column(1).take(pick), pa.array((first - heads[owner]).astype(np.int32)), pa.array(total[owner].astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(slots, pa.list_(pa.string()))],
