@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
-CACHE_PARTS = 400_000
+CACHE_PARTS = 300_000
 MODEL_FILE = "piece_bpe_32k.model"
 
 

@@ -39,7 +39,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 class Tokens(dict):
     """token -> its number in ``hashes`` (of its lower case) and ``kinds``; bounded."""
 
-    MOST = 1_500_000
+    MOST = 200_000
 
     def __init__(self):
         super().__init__()

@@ -40,7 +40,7 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int
 class Words(dict):
     """64-bit hash of a word, remembered; forgotten all at once when there are many."""
 
-    MOST = 500_000
+    MOST = 150_000
 
     def __missing__(self, word: str) -> int:
         import xxhash
