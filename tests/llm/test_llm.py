@@ -131,14 +131,14 @@ def test_line_dedup(spark, odd):
     # near lines: what the SimHash bound and the edit similarity say, pair by pair
     many = [(i, swap(b) if k else b) for i, (b, k) in enumerate((b, k) for b in base for k in (0, 1))]
     frame = spark.createDataFrame(many, "doc_id bigint, text string")
-    lines = line_dedup.distinct_pieces(frame).cache()
-    hashes = {x.line: x.simhash for x in line_dedup.simhashes(lines).collect()}
+    lines = line_dedup.signed(frame).select("line", "simhash", "hash").distinct().cache()
+    hashes = {x.line: x.simhash for x in lines.collect()}
     norm, distance = brute_lines(None)
-    texts = {x.line: x.norm for x in lines.collect()}
+    texts = {x.line: x.norm for x in line_dedup.line_texts(frame, lines.select("line", "hash")).collect()}
     assert set(texts.values()) == {norm(t) for _, t in many}
     near = [(a, b) for a in texts for b in texts if a < b and bin((hashes[a] ^ hashes[b]) & (2**64 - 1)).count("1") <= 3 and distance(texts[a], texts[b]) <= 0.2 * max(len(texts[a]), len(texts[b]))]
     want = union_find(near, texts)
-    found = {x.id: x.root for x in line_dedup.line_groups(lines.select("hash", "line", "norm")).collect()}
+    found = {x.id: x.root for x in line_dedup.line_groups(frame, lines).collect()}
     assert set(found) == {i for p in near for i in p}
     assert len(set(found.values())) == len({want[i] for i in found})
     out = line_dedup.dedup(odd)
