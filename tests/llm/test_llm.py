@@ -131,10 +131,10 @@ def test_line_dedup(spark, odd):
     # near lines: what the SimHash bound and the edit similarity say, pair by pair
     many = [(i, swap(b) if k else b) for i, (b, k) in enumerate((b, k) for b in base for k in (0, 1))]
     frame = spark.createDataFrame(many, "doc_id bigint, text string")
-    lines = line_dedup.signed(frame).select("line", "simhash", "hash").distinct().cache()
+    lines = line_dedup.signed(frame).select("line", "simhash", "row").distinct().cache()
     hashes = {x.line: x.simhash for x in lines.collect()}
     norm, distance = brute_lines(None)
-    texts = {x.line: x.norm for x in line_dedup.line_texts(frame, lines.select("line", "hash")).collect()}
+    texts = {x.line: x.norm for x in line_dedup.line_texts(frame, lines.select("line", "row")).collect()}
     assert set(texts.values()) == {norm(t) for _, t in many}
     near = [(a, b) for a in texts for b in texts if a < b and bin((hashes[a] ^ hashes[b]) & (2**64 - 1)).count("1") <= 3 and distance(texts[a], texts[b]) <= 0.2 * max(len(texts[a]), len(texts[b]))]
     want = union_find(near, texts)
@@ -146,10 +146,40 @@ def test_line_dedup(spark, odd):
     assert {x.text for x in out.where("doc_id is null and text is not null").collect()} == {"the and of it"}
 
 
-def test_pieces_are_the_text(spark):
-    texts = ["", "\n", "a b\n\nc", " ".join(map(str, range(1000))) + "\nx", "x" * 500 + "  y  z\n"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.array_join(line_dedup.pieces(F.col("t")), "").alias("j"))
-    assert all(r.j == r.t + "\n" for r in df.collect())
+def test_pieces_are_the_text():
+    words = " ".join(map(str, range(1000)))
+    for text in ["", "\n", "a b\n\nc", words + "\nx", words[:-4] + " \n", "x" * 500 + "  y  z\n", " " * 350]:
+        cut = list(line_dedup.pieces(text))
+        assert "".join(cut) == text + "\n" and len(cut) == len(list(line_dedup.normalised(text)))
+
+
+def test_simhash_is_the_majority_of_bits():
+    r = np.random.default_rng(3)
+    for size in (1, 2, 3, 4, 5, 50, 99, 100):
+        words, line = r.integers(0, 2**64, size, np.uint64, endpoint=False), r.integers(0, 2**64, 1, np.uint64, endpoint=False)
+        voters = [int(w) for w in words] + ([] if size % 2 else [int(line[0]) if size <= 4 else int(words.min())])
+        want = sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in voters) > len(voters))
+        assert int(line_dedup.simhashes(words, np.array([size]), line)[0]) == want
+
+
+def test_partners_of_buckets(spark):
+    r = random.Random(8)
+    rows = []
+    for key, n in enumerate((1, 2, 3, 17, 40, 700, 2, 5000)):
+        base = r.getrandbits(64)
+        sims = [base ^ (sum({1 << r.randrange(64) for _ in range(r.randrange(5))}) if key % 2 else r.getrandbits(20)) for _ in range(n)]
+        rows += [(key, 100_000 * key + i, s - (s >> 63 << 64)) for i, s in enumerate(sims)]
+    want = set()
+    for key in {k for k, _, _ in rows}:
+        sims = np.array([s for k, _, s in rows if k == key]).view(np.uint64)
+        close = (np.bitwise_count(sims[:, None] ^ sims) <= 3).sum(axis=1) > 1
+        want |= {100_000 * key + int(i) for i in np.flatnonzero(close)}
+    for step in (1, 7, 1000, 10_000):
+        import pyarrow as pa
+
+        batches = [pa.RecordBatch.from_pylist([dict(zip(("key", "line", "simhash"), x)) for x in rows[k : k + step]]) for k in range(0, len(rows), step)]
+        got = [x for out in line_dedup.with_partners(iter(batches)) for x in out.column(1).to_pylist()]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def brute_jaccard(rows):
