@@ -146,6 +146,24 @@ def test_line_dedup(spark, odd):
     assert {x.text for x in out.where("doc_id is null and text is not null").collect()} == {"the and of it"}
 
 
+def test_line_dedup_finds_lines_by_edit_similarity_alone(spark):
+    """Recall against all pairs of edit similarity 0.8, without a look at hashes; a second line far from all stays alone."""
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(3000)]
+    lines = []
+    for n in (6, 10, 20, 30, 50, 100):
+        for share in (0.0, 0.1, 0.2):
+            for _ in range(8):
+                base = [r.choice(words) for _ in range(n)]
+                at = set(r.sample(range(n), max(1, round(n * share))))
+                lines += [" ".join(base), " ".join(r.choice(words) if i in at else w for i, w in enumerate(base))]
+    norm, distance = brute_lines(None)
+    true = [k for k in range(0, len(lines), 2) if distance(lines[k], lines[k + 1]) <= 0.2 * max(len(lines[k]), len(lines[k + 1]))]
+    out = {x.doc_id: x.n_dropped for x in line_dedup.dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")).collect()}
+    assert len(true) > 80 and sum(out[k + 1] for k in true) >= 0.95 * len(true)
+    assert not any(out[k] for k in range(0, len(lines), 2)) and not any(out[k + 1] for k in range(0, len(lines), 2) if k not in true)
+
+
 def test_pieces_are_the_text():
     words = " ".join(map(str, range(1000)))
     for text in ["", "\n", "a b\n\nc", words + "\nx", words[:-4] + " \n", "x" * 500 + "  y  z\n", " " * 350]:
