@@ -164,6 +164,19 @@ def test_line_dedup_finds_lines_by_edit_similarity_alone(spark):
     assert not any(out[k] for k in range(0, len(lines), 2)) and not any(out[k + 1] for k in range(0, len(lines), 2) if k not in true)
 
 
+def test_line_dedup_compares_long_lines_as_wholes(spark):
+    """A word put in early shifts all pieces; a long line's own pieces never drop each other for its sake."""
+    r = random.Random(13)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(3000)]
+    line = [[r.choice(words) for _ in range(n)] for n in (350, 115, 450)]
+    shift = lambda ws: " ".join(w if i % 30 else w + " extra" for i, w in enumerate(ws))
+    rows = [(k, " ".join(ws) + "\nend") for k, ws in enumerate(line)] + [(10 + k, shift(ws) + "\nnew" + "x" * k) for k, ws in enumerate(line)] + [(20, " ".join(line[1][:98]) + "\nlast")]
+    got = {x.doc_id: (x.text, x.n_dropped) for x in line_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[0] == (rows[0][1], 0)
+    assert got[1] == (" ".join(line[1]), 1) and got[2] == (" ".join(line[2]), 1)
+    assert [got[10 + k] for k in range(3)] == [("new", 4), ("newx", 2), ("newxx", 5)] and got[20] == ("last", 1)
+
+
 def test_pieces_are_the_text():
     words = " ".join(map(str, range(1000)))
     for text in ["", "\n", "a b\n\nc", words + "\nx", words[:-4] + " \n", "x" * 500 + "  y  z\n", " " * 350]:
