@@ -6,6 +6,10 @@ join. A join hit carries the slot fillers of both sides; along one alignment of
 consistent: one filler of the item always stands for the same filler in the document. So a question with other names
 and numbers is found, and text that shares nothing but placeholders isn't.
 
+A capitalised word that begins a sentence may be a name or not: its windows come in both forms, and meet in either. If the
+word stands inside a sentence of its text, too, it is a name; if not, and its fillers are not consistent, its windows alone
+count for nothing.
+
 Only windows that pass a bitmap of the benchmark's windows leave the scan of the documents; the bitmap has a fixed
 size, however large the benchmark is.
 """
@@ -32,7 +36,7 @@ UNITS = frozenset(
     "ml l liter liters litre litres cup cups gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
     "percent dollar dollars cent cents euro euros usd eur degree degrees mph kmh kb mb gb tb hz watt watts volt volts".split()
 )
-WORD, NUMBER, NAME, UNIT, STOP = range(5)
+WORD, NUMBER, NAME, UNIT, STOP, MAYBE = range(6)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,23 +72,24 @@ class Tokens(dict):
 _TOKENS = Tokens()
 
 
-def canonical(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of all texts, the places of those that aren't stops, and of these the template hashes, their slot kind (WORD: none) and text number."""
+def canonical(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of all texts, the places of those that aren't stops, and of these the template hashes, their slot kind (WORD: none), text number, and which are capitalised and begin a sentence (WORD here)."""
     lists = [TOKEN.findall(t) for t in texts]
     tokens = [t for ts in lists for t in ts]
     text = np.repeat(np.arange(len(texts)), [len(ts) for ts in lists])
     if not tokens:
-        return [], np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, int), text
+        return [], np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, int), text, np.zeros(0, bool)
     hashes, kinds = _TOKENS.of(tokens)
     first = np.r_[True, (kinds[:-1] == STOP) | (text[1:] != text[:-1])]
-    kinds[first & (kinds == NAME)] = WORD
+    maybe = first & (kinds == NAME)
+    kinds[maybe] = WORD
     after_number = np.r_[False, (kinds[:-1] == NUMBER) & (text[1:] == text[:-1])]
     kinds[(kinds == UNIT) & ~after_number] = WORD
     keep = kinds != STOP
     hashes, kinds, text = hashes[keep], kinds[keep], text[keep]
     slot = kinds != WORD
     hashes[slot] = kinds[slot].astype(np.uint64)
-    return tokens, np.flatnonzero(keep), hashes, kinds, text
+    return tokens, np.flatnonzero(keep), hashes, kinds, text, maybe[keep]
 
 
 def windows(hashes: np.ndarray, kinds: np.ndarray, text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,16 +122,36 @@ def window_rows(rows: DataFrame, width: int, bitmap: np.ndarray | None) -> DataF
                     text_rows.append((at, i + 1))
                     at, chars = i + 1, 0
             for a, b in text_rows:
-                tokens, places, hashes, kinds, text = canonical([v or "" for v in values[a:b]])
+                tokens, places, hashes, kinds, text, maybe = canonical([v or "" for v in values[a:b]])
                 heads = np.searchsorted(text, np.arange(b - a + 1))
                 first, keys = windows(hashes, kinds, text, width)
-                if passes is not None:
+                # the other form of windows with a word that may be a name
+                named = np.where(maybe, NAME, kinds)
+                first_n, keys_n = windows(np.where(maybe, np.uint64(NAME), hashes), named, text, width)
+                count = np.concatenate([[0], np.cumsum(maybe)])
+                two = count[first_n + width] > count[first_n]
+                form = np.repeat([0, 1], [len(first), int(two.sum())])
+                first, keys = np.concatenate([first, first_n[two]]), np.concatenate([keys, keys_n[two]])
+                if passes is None:
+                    total = np.bincount(text[np.unique(first)], minlength=b - a)  # of all windows, for the benchmark
+                else:
                     bit = (keys >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
                     hit = (passes[bit >> 3] >> (bit & 7)) & 1 > 0
-                    first, keys = first[hit], keys[hit]
+                    first, keys, form = first[hit], keys[hit], form[hit]
+                    total = np.zeros(b - a, int)
                 owner = text[first]
-                total = np.bincount(owner, minlength=b - a)  # of all windows, for the benchmark
-                slots = [[f"{kinds[k]}{tokens[places[k]].lower()}" for k in range(f, f + width) if kinds[k] != WORD] for f in first.tolist()]
+                inside = {}
+
+                def filler(k: int) -> str:
+                    low = tokens[places[k]].lower()
+                    if not maybe[k]:
+                        return f"{kinds[k]}{low}"
+                    if text[k] not in inside:
+                        own = np.arange(heads[text[k]], heads[text[k] + 1])
+                        inside[text[k]] = {tokens[places[j]].lower() for j in own[kinds[own] == NAME]}
+                    return f"{NAME if low in inside[text[k]] else MAYBE}{low}"
+
+                slots = [[filler(k) for k in range(f, f + width) if (named if n else kinds)[k] != WORD] for f, n in zip(first.tolist(), form.tolist())]
                 pick = pa.array(owner + a)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pick), batch.column(1).take(pick), pa.array((first - heads[owner]).astype(np.int32)), pa.array(total[owner].astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(slots, pa.list_(pa.string()))],
@@ -160,7 +185,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: f
     b = items.select("key", F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("place").alias("item_place"), F.col("total").alias("item_windows"), F.col("slots").alias("item_slots"))
     hits = found.join(b, "key").select(F.col("id").alias("doc_id"), F.col("row").alias("doc_row"), "item_id", "item_row", "item_windows", "item_place", (F.col("place") - F.col("item_place")).alias("shift"), F.arrays_zip("item_slots", "slots").alias("slots"))
     pair = ["doc_id", "doc_row", "item_id", "item_row", "item_windows"]
-    lined = hits.groupBy(*pair, "shift").agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    alignment = hits.groupBy(*pair, "shift").agg(F.collect_set(F.struct("item_place", "slots")).alias("windows"))
+    slots = lambda windows: F.array_distinct(F.flatten(F.transform(windows, lambda w: w["slots"])))
+    sides = F.transform("slots", lambda s: s["item_slots"])
+    torn = F.filter(F.array_distinct(sides), lambda x: x.startswith(str(MAYBE)) & (F.size(F.filter(sides, lambda y: x == y)) > 1))
+    # a word that may be no name takes its windows out, not the alignment
+    alignment = alignment.withColumn("slots", slots("windows")).withColumn("torn", torn)
+    alignment = alignment.withColumn("windows", F.filter("windows", lambda w: ~F.exists(w["slots"], lambda s: F.array_contains("torn", s["item_slots"]))))
+    lined = alignment.withColumn("places", F.array_distinct(F.transform("windows", lambda w: w["item_place"]))).withColumn("slots", slots("windows"))
     steady = (F.size(F.array_distinct(F.transform("slots", lambda s: s["item_slots"]))) == F.size("slots")) & (F.size(F.array_distinct(F.transform("slots", lambda s: s["slots"]))) == F.size("slots"))
     lined = lined.where(steady).withColumn("n", F.size("places"))
     # places may be shared by alignments: each counts once, for the whole document

@@ -303,6 +303,15 @@ def test_decontamination(spark, odd):
     assert decontaminate.contaminated(odd.limit(0), bench).count() == 0
 
 
+def test_decontamination_names_begin_sentences(spark):
+    item = "{0} has 3 apples. {1} has 5 pears. {0} gives {1} 2 apples. How many apples does {0} have now?"
+    never = "{0} sold some red apples there. Then more came by train. How many apples were left behind at noon?"
+    bench = spark.createDataFrame([(9, item.format("Tom", "Sue")), (8, never.format("Tom"))], "item_id bigint, text string")
+    rows = [(1, item.format("Ben", "Ann").replace("3", "7")), (2, never.format("Ben")), (3, item.format("Ben", "Ann").replace("does Ben", "does Kim"))]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
+    assert got == {(1, 9), (2, 8)}
+
+
 def test_main_text(spark):
     page = lambda k, body: (k, f"http://user@Host.example:80/{k}", f"<html><head><title>t</title></head><body><nav><a href=x>m{k}</a></nav><div id=c><p>Share this page</p>{body}</div><footer>f</footer></body></html>")
     rows = [page(k, f"<h2>T{k}</h2><p>a{k} &lt;b&gt;&nbsp;<b>x</b>y<br>z{k}<ul><li>1{k}<li>2{k}</ul><div class='user-comments'>bad</div><script>var a='</p>'</script>") for k in range(8)]
