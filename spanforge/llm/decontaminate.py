@@ -193,7 +193,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: f
     alignment = alignment.withColumn("slots", slots("windows")).withColumn("torn", torn)
     alignment = alignment.withColumn("windows", F.filter("windows", lambda w: ~F.exists(w["slots"], lambda s: F.array_contains("torn", s["item_slots"]))))
     lined = alignment.withColumn("places", F.array_distinct(F.transform("windows", lambda w: w["item_place"]))).withColumn("slots", slots("windows"))
-    steady = (F.size(F.array_distinct(F.transform("slots", lambda s: s["item_slots"]))) == F.size("slots")) & (F.size(F.array_distinct(F.transform("slots", lambda s: s["slots"]))) == F.size("slots"))
+    # two fillers of the item may have become the same one
+    steady = F.size(F.array_distinct(F.transform("slots", lambda s: s["item_slots"]))) == F.size("slots")
     lined = lined.where(steady).withColumn("n", F.size("places"))
     # places may be shared by alignments: each counts once, for the whole document
     by = lined.groupBy(*pair).agg(F.max("n").alias("longest"), F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n_windows"))

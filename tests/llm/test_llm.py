@@ -312,6 +312,14 @@ def test_decontamination_names_begin_sentences(spark):
     assert got == {(1, 9), (2, 8)}
 
 
+def test_decontamination_fillers_may_coincide(spark):
+    item = "On one day the baker sold {} loaves before the rain came and then {} loaves after it, so how many loaves were sold in total?"
+    bench = spark.createDataFrame([(9, item.format(12, 15))], "item_id bigint, text string")
+    rows = [(1, item.format(31, 44)), (2, item.format(20, 20))]
+    got = {r.doc_id: (r.n_windows, r.item_windows) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
+    assert set(got) == {1, 2} and got[1] == got[2] and got[2][0] == got[2][1]
+
+
 def test_main_text(spark):
     page = lambda k, body: (k, f"http://user@Host.example:80/{k}", f"<html><head><title>t</title></head><body><nav><a href=x>m{k}</a></nav><div id=c><p>Share this page</p>{body}</div><footer>f</footer></body></html>")
     rows = [page(k, f"<h2>T{k}</h2><p>a{k} &lt;b&gt;&nbsp;<b>x</b>y<br>z{k}<ul><li>1{k}<li>2{k}</ul><div class='user-comments'>bad</div><script>var a='</p>'</script>") for k in range(8)]
