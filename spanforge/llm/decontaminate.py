@@ -10,6 +10,9 @@ A capitalised word that begins a sentence may be a name or not: its windows come
 word stands inside a sentence of its text, too, it is a name; if not, and its fillers are not consistent, its windows alone
 count for nothing.
 
+An item without a window - short, or mostly of numbers and names - is looked for as it is: its tokens in lower case, all of
+them in a row.
+
 Only windows that pass a bitmap of the benchmark's windows leave the scan of the documents; the bitmap has a fixed
 size, however large the benchmark is.
 """
@@ -38,6 +41,8 @@ UNITS = frozenset(
 )
 WORD, NUMBER, NAME, UNIT, STOP, MAYBE = range(6)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: An odd number and its inverse modulo 2 ** 64.
+_BASE, _BACK = np.uint64(0xD6E8FEB86659FD93), np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
 
 class Tokens(dict):
@@ -161,6 +166,54 @@ def window_rows(rows: DataFrame, width: int, bitmap: np.ndarray | None) -> DataF
     return rows.mapInArrow(run, schema)
 
 
+def run_keys(hashes: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First tokens and keys of all runs of ``n`` tokens inside one text; differences of one running sum, so any length costs the same."""
+    at = np.flatnonzero(text[: max(0, len(text) - n + 1)] == text[n - 1 :])
+    power = np.full(len(hashes) + 1, _BASE, np.uint64)
+    power[0] = 1
+    back = np.full(len(hashes) + 1, _BACK, np.uint64)
+    back[0] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * np.cumprod(power)[:-1], dtype=np.uint64)])
+    x = (sums[at + n] - sums[at]) * np.cumprod(back)[at] + np.uint64(n) * _MIX
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return at, x ^ (x >> np.uint64(32))
+
+
+def run_rows(rows: DataFrame, lengths: list[int] | None, bitmap: np.ndarray | None) -> DataFrame:
+    """id, row, n and key of the runs of ``lengths`` tokens (that pass ``bitmap``), or of each text as a whole."""
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, value in enumerate(batch.column(2).to_pylist()):
+                tokens = [t for t in TOKEN.findall(value or "") if t not in ".!?:;\n"]
+                if not tokens:
+                    continue
+                hashes, own = _TOKENS.of(tokens)[0], np.zeros(len(tokens), int)
+                for n in lengths if lengths is not None else [len(tokens)]:
+                    if n > len(tokens):
+                        break
+                    keys = np.unique(run_keys(hashes, own, n)[1])
+                    if shared.value is not None:
+                        bit = (keys >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+                        keys = keys[(shared.value[bit >> 3] >> (bit & 7)) & 1 > 0]
+                    if len(keys):
+                        pick = pa.array(np.full(len(keys), i))
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(np.full(len(keys), n, np.int32)), pa.array(keys.view(np.int64))], ["id", "row", "n", "key"])
+
+    return rows.mapInArrow(run, "id bigint, row bigint, n int, key bigint")
+
+
+def exact(docs: DataFrame, items: DataFrame) -> DataFrame | None:
+    """doc_id, doc_row and item_id where the whole of an item stands in the document; None if no item has a token."""
+    whole = materialize(run_rows(items, None, None), "dc-whole")
+    lengths = sorted(r.n for r in whole.select("n").distinct().collect())
+    if not lengths:
+        return None
+    found = run_rows(docs, lengths, bitmap_of(whole))
+    return found.join(whole.select("key", "n", F.col("id").alias("item_id")), ["key", "n"]).select(F.col("id").alias("doc_id"), F.col("row").alias("doc_row"), "item_id").distinct()
+
+
 def bitmap_of(items: DataFrame) -> np.ndarray:
     """Of the leading bits of all windows' keys: at most 2 ** BITMAP_BITS different values come to the driver."""
     bit = F.shiftrightunsigned("key", 64 - BITMAP_BITS).cast("int")
@@ -174,12 +227,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: f
     """doc_id, doc_row (hash of the text), item_id, n_windows and item_windows of the contaminated pairs.
 
     A pair counts if ``share`` of the item's windows, or ``run`` at one alignment, occur in the document with consistent
-    slots. A null or empty text, on either side, matches nothing, nor does an item without a window that is half
-    words. Items of equal id and different text are items of their own; repeated documents are reported once for each
+    slots; an item without a window that is half words counts as one window, all its tokens as they are. A null or empty
+    text, on either side, matches nothing. Items of equal id and different text are items of their own; repeated documents are reported once for each
     doc_id and text. Empty tables give an empty result; other columns are ignored.
     """
     named = lambda df, name: df.select(F.col(name).cast("bigint").alias("id"), F.xxhash64("text").alias("row"), "text")
-    items = materialize(window_rows(named(benchmark, "item_id").distinct(), width, None), "dc-items")
+    texts = named(benchmark, "item_id").distinct()
+    items = materialize(window_rows(texts, width, None), "dc-items")
     bitmap = bitmap_of(items)
     found = window_rows(named(docs, "doc_id"), width, bitmap)
     b = items.select("key", F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("place").alias("item_place"), F.col("total").alias("item_windows"), F.col("slots").alias("item_slots"))
@@ -198,7 +252,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: f
     lined = lined.where(steady).withColumn("n", F.size("places"))
     # places may be shared by alignments: each counts once, for the whole document
     by = lined.groupBy(*pair).agg(F.max("n").alias("longest"), F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n_windows"))
-    return by.where((F.col("n_windows") >= F.col("item_windows") * share) | (F.col("longest") >= run)).select("doc_id", "doc_row", "item_id", F.col("n_windows").cast("bigint").alias("n_windows"), F.col("item_windows").cast("bigint").alias("item_windows"))
+    out = by.where((F.col("n_windows") >= F.col("item_windows") * share) | (F.col("longest") >= run)).select("doc_id", "doc_row", "item_id", F.col("n_windows").cast("bigint").alias("n_windows"), F.col("item_windows").cast("bigint").alias("item_windows"))
+    bare = texts.join(items.select(F.col("id").alias("i"), F.col("row").alias("r")).distinct(), F.col("id").eqNullSafe(F.col("i")) & (F.col("row") == F.col("r")), "left_anti")
+    quoted = exact(named(docs, "doc_id"), bare)
+    return out if quoted is None else out.unionByName(quoted.select("*", F.lit(1).cast("bigint").alias("n_windows"), F.lit(1).cast("bigint").alias("item_windows")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

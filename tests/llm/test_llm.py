@@ -320,6 +320,14 @@ def test_decontamination_fillers_may_coincide(spark):
     assert set(got) == {1, 2} and got[1] == got[2] and got[2][0] == got[2][1]
 
 
+def test_decontamination_quotes_items_without_windows(spark):
+    bench = spark.createDataFrame([(1, "Compute 12 + 34 * 5 - 6 / 7"), (2, "Who wrote the Iliad?"), (3, "..."), (4, None)], "item_id bigint, text string")
+    rows = [(1, "Task: compute 12 + 34 * 5 - 6 / 7 now"), (2, "compute 12 + 34 * 5 - 6 / 8"), (3, "Tell me: who wrote the Iliad? And when?"), (4, "who wrote the"), (5, None), (6, "who wrote the Iliad"), (7, "...")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()) == [(1, 1), (3, 2), (6, 2)]
+    assert sorted(r.doc_id for r in decontaminate.clean(df, bench).collect()) == [2, 4, 5, 7]
+
+
 def test_main_text(spark):
     page = lambda k, body: (k, f"http://user@Host.example:80/{k}", f"<html><head><title>t</title></head><body><nav><a href=x>m{k}</a></nav><div id=c><p>Share this page</p>{body}</div><footer>f</footer></body></html>")
     rows = [page(k, f"<h2>T{k}</h2><p>a{k} &lt;b&gt;&nbsp;<b>x</b>y<br>z{k}<ul><li>1{k}<li>2{k}</ul><div class='user-comments'>bad</div><script>var a='</p>'</script>") for k in range(8)]
