@@ -619,10 +619,13 @@ def nucleosomes_dsegment(spark, d):
 
 @query(None)
 def fire_features(spark, d):
-    seq = F.rpad(F.translate(F.upper(F.regexp_replace("text", "[^a-zA-Z]", "")), "BDEFHIJKLMNOPQRSUVWXYZ", "ACGTACGTACGTACGTACGTAC"), 4000, "ACGT")
-    texts = T.table(spark, d, "documents").select((F.col("doc_id") + 1).alias("fiber_id"), seq.alias("seq"))
-    rows = T.annotations(spark, d).groupBy("fiber_id").agg(F.array_sort(F.collect_set(F.when(F.col("type") == "m6a", F.col("q_start")))).alias("marks"), F.collect_list(F.when(F.col("type") == "msp", F.struct(F.col("q_start").alias("start"), "length"))).alias("msps"))
-    return stats.features(rows.join(texts, "fiber_id"), least=85)
+    docs = T.table(spark, d, "documents")
+    letters = F.translate(F.upper(F.regexp_replace("text", "[^a-zA-Z]", "")), "BDEFHIJKLMNOPQRSUVWXYZ", "ACGTACGTACGTACGTACGTAC")
+    texts = docs.select(F.col("doc_id").alias("text_id"), letters.alias("letters")).where("letters <> ''")
+    rows = T.annotations(spark, d).groupBy("fiber_id", "read_length").agg(F.array_sort(F.collect_set(F.when(F.col("type") == "m6a", F.col("q_start")))).alias("marks"), F.collect_list(F.when(F.col("type") == "msp", F.struct(F.col("q_start").alias("start"), "length"))).alias("msps"))
+    # a text's letters, repeated, make a molecule of its own length; a text without letters makes ACGT
+    own = rows.withColumn("text_id", F.col("fiber_id") % docs.count()).join(texts, "text_id", "left").withColumn("letters", F.coalesce("letters", F.lit("ACGT")))
+    return stats.features(own.withColumn("seq", F.rpad("letters", F.col("read_length").cast("int"), F.col("letters"))), least=85)
 
 
 # Interval algebra

@@ -151,3 +151,29 @@ def test_streaming_is_additive(spark, tmp_path):
     incremental.additive(stream, lambda b: b.groupBy("v").count(), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
     got = {r.v: r.n for r in spark.read.parquet(str(tmp_path / "out")).groupBy("v").agg(F.sum("count").alias("n")).collect()}
     assert got == {0: 7, 1: 7, 2: 6}
+
+
+def test_fire_features_cover_every_fiber(spark):
+    import collections
+    import re
+
+    from spanforge.plans import catalogue
+    from spanforge.sources import tables as T
+
+    sf = "/root/testdata/sf0.001"
+    code = str.maketrans("BDEFHIJKLMNOPQRSUVWXYZ", "ACGTACGTACGTACGTACGTAC")
+    docs = {r.doc_id: re.sub("[^a-zA-Z]", "", r.text or "").upper().translate(code) or "ACGT" for r in T.table(spark, sf, "documents").collect()}
+    rows = T.annotations(spark, sf).collect()
+    marks, want = collections.defaultdict(set), collections.Counter()
+    for r in rows:
+        if r.type == "m6a":
+            marks[r.fiber_id].add(r.q_start)
+    for r in rows:
+        if r.type == "msp" and r.length >= 85:
+            letters = docs[r.fiber_id % len(docs)]
+            seq = (letters * (r.read_length // len(letters) + 1))[: r.read_length]
+            m6a = {m for m in marks[r.fiber_id] if 0 <= m < r.read_length}
+            end = min(r.q_end, r.read_length)
+            want[r.fiber_id, r.q_start, r.read_length, len(m6a), sum(c in "AT" for c in seq), sum(r.q_start <= m < end for m in m6a)] += 1
+    names = ["fiber_id", "msp_start", "read_length", "fiber_m6a_count", "fiber_at_count", "msp_m6a_count"]
+    assert collections.Counter(tuple(map(int, r)) for r in catalogue.QUERIES["fire_features"](spark, sf).select(*names).collect()) == want
