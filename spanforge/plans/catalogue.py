@@ -208,6 +208,30 @@ def join_frac_overlap(spark, d):
     return intervals.overlap_semi(r.where("region_id % 2 = 0"), as_b(r.where("region_id % 2 = 1")), ["region_id"], fraction=0.25).select("region_id")
 
 
+@query(f"SELECT f.fiber_id FROM fibers f WHERE EXISTS (SELECT 1 FROM regions r WHERE {OVERLAP})")
+def join_region_semi_all(spark, d):
+    return intervals.overlap_semi(as_intervals(T.fibers(spark, d)), as_b(T.regions(spark, d)), ["fiber_id"]).select("fiber_id")
+
+
+@query(f"SELECT f.fiber_id FROM fibers f WHERE NOT EXISTS (SELECT 1 FROM regions r WHERE {OVERLAP})")
+def join_region_anti_all(spark, d):
+    return intervals.overlap_semi(as_intervals(T.fibers(spark, d)), as_b(T.regions(spark, d)), ["fiber_id"], anti=True).select("fiber_id")
+
+
+@query('SELECT a.region_id FROM regions a WHERE EXISTS (SELECT 1 FROM regions b WHERE b.region_id <> a.region_id AND a.chrom = b.chrom AND least(a."end", b."end") - greatest(a.start, b.start) >= 0.25 * (a."end" - a.start))')
+def join_frac_overlap_all(spark, d):
+    r = T.regions(spark, d)
+    pairs = intervals.overlap_join(r, as_b(r, F.col("region_id").alias("b_id")))
+    enough = (F.least("end", "b_end") - F.greatest("start", "b_start")) >= F.lit(0.25) * (F.col("end") - F.col("start"))
+    return r.join(pairs.where((F.col("region_id") != F.col("b_id")) & enough).select("region_id").distinct(), "region_id", "left_semi").select("region_id")
+
+
+@query("SELECT fiber_id, chrom, (fiber_id * 31) % 20000 AS ref_start, (fiber_id * 31) % 20000 + read_length AS ref_end FROM fibers")
+def join_shuffle_equi_all(spark, d):
+    f = T.fibers(spark, d)
+    return shuffled(f, f.select("chrom", "fiber_id", "ref_start", ((F.col("fiber_id") * 31) % 20000).alias("new_start"))).select("fiber_id", "chrom", "ref_start", "ref_end")
+
+
 @query("SELECT c.center_id, f.fiber_id FROM centers c JOIN fibers f ON c.chrom = f.chrom AND f.ref_start <= c.pos AND c.pos < f.ref_end")
 def join_center_point(spark, d):
     return intervals.point_join(as_intervals(T.fibers(spark, d)), T.centers(spark, d).select(F.col("chrom").alias("p_chrom"), "pos", "center_id")).select("center_id", "fiber_id")
@@ -473,6 +497,12 @@ def acf_lags(spark, d):
     return stats.autocorrelation(marks, T.fibers(spark, d), 50)
 
 
+@query(None)
+def acf_lags_all(spark, d):
+    marks = T.marks(spark, d).where("type = 'm6a'").join(T.fibers(spark, d).select("fiber_id"), "fiber_id", "left_semi").select("fiber_id", F.col("fwd_start").alias("pos")).distinct()
+    return stats.autocorrelation(marks, T.fibers(spark, d), 250)
+
+
 @query("SELECT count(*) AS reads, round(avg(coalesce(m6a, FALSE)::INT), 6) AS frac_m6a, round(avg(coalesce(nuc, FALSE)::INT), 6) AS frac_nuc, round(avg((hp <> 'UNK')::INT), 6) AS frac_phased FROM (SELECT * FROM fibers ORDER BY fiber_id LIMIT 5000) LEFT JOIN (SELECT fiber_id, bool_or(type = 'm6a') AS m6a, bool_or(type = 'nuc') AS nuc FROM marks GROUP BY 1) USING (fiber_id)")
 def validate_fractions(spark, d):
     return stats.validate(T.fibers(spark, d), T.marks(spark, d))

@@ -177,3 +177,22 @@ def test_fire_features_cover_every_fiber(spark):
             want[r.fiber_id, r.q_start, r.read_length, len(m6a), sum(c in "AT" for c in seq), sum(r.q_start <= m < end for m in m6a)] += 1
     names = ["fiber_id", "msp_start", "read_length", "fiber_m6a_count", "fiber_at_count", "msp_m6a_count"]
     assert collections.Counter(tuple(map(int, r)) for r in catalogue.QUERIES["fire_features"](spark, sf).select(*names).collect()) == want
+
+
+def test_acf_lags_go_to_250(spark):
+    from spanforge.plans import catalogue
+    from spanforge.sources import tables as T
+
+    sf, at, off = "/root/testdata/sf0.001", set(), {}
+    n = 0
+    for f in sorted(T.fibers(spark, sf).collect(), key=lambda r: r.fiber_id):
+        off[f.fiber_id] = n
+        n += f.read_length
+    at = {off[r.fiber_id] + r.fwd_start for r in T.marks(spark, sf).where("type = 'm6a'").collect() if r.fiber_id in off}
+    k = len(at)
+    m, got = k / n, {r.lag: r.acf for r in catalogue.QUERIES["acf_lags_all"](spark, sf).collect()}
+    assert sorted(got) == list(range(251))
+    for lag, acf in got.items():
+        ends = sum(p < lag for p in at) + sum(p >= n - lag for p in at)
+        want = (sum(p + lag in at for p in at) - m * (2 * k - ends) + m * m * (n - lag)) / (k - m * k)
+        assert abs(acf - want) < 1e-8
