@@ -113,9 +113,9 @@ def windows(hashes: np.ndarray, kinds: np.ndarray, text: np.ndarray, width: int)
 
 
 def window_rows(rows: DataFrame, width: int, bitmap: np.ndarray | None) -> DataFrame:
-    """id, row (hash of the text), place, total, key and slots of the windows (that pass ``bitmap``, if given)."""
+    """id, row (hash of the text), place, total, key, form (1: words that may be names are) and slots of the windows (that pass ``bitmap``, if given)."""
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)
-    schema = "id bigint, row bigint, place int, total int, key bigint, slots array<string>"
+    schema = "id bigint, row bigint, place int, total int, key bigint, form tinyint, slots array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = shared.value
@@ -159,8 +159,8 @@ def window_rows(rows: DataFrame, width: int, bitmap: np.ndarray | None) -> DataF
                 slots = [[filler(k) for k in range(f, f + width) if (named if n else kinds)[k] != WORD] for f, n in zip(first.tolist(), form.tolist())]
                 pick = pa.array(owner + a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pick), batch.column(1).take(pick), pa.array((first - heads[owner]).astype(np.int32)), pa.array(total[owner].astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(slots, pa.list_(pa.string()))],
-                    ["id", "row", "place", "total", "key", "slots"],
+                    [batch.column(0).take(pick), batch.column(1).take(pick), pa.array((first - heads[owner]).astype(np.int32)), pa.array(total[owner].astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(form.astype(np.int8)), pa.array(slots, pa.list_(pa.string()))],
+                    ["id", "row", "place", "total", "key", "form", "slots"],
                 )
 
     return rows.mapInArrow(run, schema)
@@ -236,20 +236,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: f
     items = materialize(window_rows(texts, width, None), "dc-items")
     bitmap = bitmap_of(items)
     found = window_rows(named(docs, "doc_id"), width, bitmap)
-    b = items.select("key", F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("place").alias("item_place"), F.col("total").alias("item_windows"), F.col("slots").alias("item_slots"))
-    hits = found.join(b, "key").select(F.col("id").alias("doc_id"), F.col("row").alias("doc_row"), "item_id", "item_row", "item_windows", "item_place", (F.col("place") - F.col("item_place")).alias("shift"), F.arrays_zip("item_slots", "slots").alias("slots"))
+    b = items.select("key", F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("place").alias("item_place"), F.col("total").alias("item_windows"), F.col("form").alias("item_form"), F.col("slots").alias("item_slots"))
+    hits = found.join(b, "key").select(F.col("id").alias("doc_id"), F.col("row").alias("doc_row"), "item_id", "item_row", "item_windows", "item_place", (F.col("place") - F.col("item_place")).alias("shift"), ((F.col("form") == 0) & (F.col("item_form") == 0)).alias("plain"), F.arrays_zip("item_slots", "slots").alias("slots"))
     pair = ["doc_id", "doc_row", "item_id", "item_row", "item_windows"]
-    alignment = hits.groupBy(*pair, "shift").agg(F.collect_set(F.struct("item_place", "slots")).alias("windows"))
+    alignment = hits.groupBy(*pair, "shift").agg(F.collect_set(F.struct("item_place", "slots", "plain")).alias("windows"))
     slots = lambda windows: F.array_distinct(F.flatten(F.transform(windows, lambda w: w["slots"])))
     sides = F.transform("slots", lambda s: s["item_slots"])
+    one_way = lambda slots: F.size(F.array_distinct(F.transform(slots, lambda s: s["item_slots"]))) == F.size(slots)
+    both_ways = lambda slots: one_way(slots) & (F.size(F.array_distinct(F.transform(slots, lambda s: s["slots"]))) == F.size(slots))
+    at = lambda windows: F.array_distinct(F.transform(windows, lambda w: w["item_place"]))
     torn = F.filter(F.array_distinct(sides), lambda x: x.startswith(str(MAYBE)) & (F.size(F.filter(sides, lambda y: x == y)) > 1))
     # a word that may be no name takes its windows out, not the alignment
-    alignment = alignment.withColumn("slots", slots("windows")).withColumn("torn", torn)
-    alignment = alignment.withColumn("windows", F.filter("windows", lambda w: ~F.exists(w["slots"], lambda s: F.array_contains("torn", s["item_slots"]))))
-    lined = alignment.withColumn("places", F.array_distinct(F.transform("windows", lambda w: w["item_place"]))).withColumn("slots", slots("windows"))
-    # two fillers of the item may have become the same one
-    steady = F.size(F.array_distinct(F.transform("slots", lambda s: s["item_slots"]))) == F.size("slots")
-    lined = lined.where(steady).withColumn("n", F.size("places"))
+    alignment = alignment.withColumn("slots", slots("windows")).withColumn("torn", F.when(one_way(F.col("slots")), F.array().cast("array<string>")).otherwise(torn))
+    alignment = alignment.withColumn("kept", F.filter("windows", lambda w: ~F.exists(w["slots"], lambda s: F.array_contains("torn", s["item_slots"]))))
+    alignment = alignment.withColumn("bare", F.filter("windows", lambda w: w["plain"])).withColumn("slots", slots("kept")).withColumn("bare_slots", slots("bare"))
+    # two fillers of the item may have become the same one; where the names that begin sentences speak against an
+    # alignment, it counts without them if its other fillers stand one for one
+    lined = alignment.withColumn("places", F.when(one_way(F.col("slots")), at("kept")).when(both_ways(F.col("bare_slots")), at("bare")).otherwise(F.array().cast("array<int>")))
+    lined = lined.withColumn("n", F.size("places")).where("n > 0")
     # places may be shared by alignments: each counts once, for the whole document
     by = lined.groupBy(*pair).agg(F.max("n").alias("longest"), F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n_windows"))
     out = by.where((F.col("n_windows") >= F.col("item_windows") * share) | (F.col("longest") >= run)).select("doc_id", "doc_row", "item_id", F.col("n_windows").cast("bigint").alias("n_windows"), F.col("item_windows").cast("bigint").alias("item_windows"))
