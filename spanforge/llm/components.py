@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import materialize
+from spanforge.llm.common import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,6 +17,7 @@ def components(links: DataFrame) -> DataFrame:
     executors cost one round.
     """
     edges = materialize(links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "cc-links")
+    written = [edges]
     labels = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct().select("id", F.col("id").alias("root"))
     while not edges.isEmpty():
         both = edges.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))).alias("e")).select("e.*")
@@ -24,8 +25,12 @@ def components(links: DataFrame) -> DataFrame:
         # one jump: a vertex's parent may itself hook lower
         up = hook.select(F.col("a").alias("p"), F.col("p").alias("q"))
         parent = materialize(hook.join(up, "p", "left").select("a", F.coalesce("q", "p").alias("p")), "cc-parents")
+        written.append(parent)
         labels = labels.join(parent, labels.root == parent.a, "left").select("id", F.coalesce("p", "root").alias("root"))
         pu, pv = parent.select(F.col("a").alias("u"), F.col("p").alias("pu")), parent.select(F.col("a").alias("v"), F.col("p").alias("pv"))
         moved = edges.join(pu, "u").join(pv, "v").where("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct()
         edges = materialize(moved, "cc-links")
-    return materialize(labels, "cc-labels")
+        written.append(edges)
+    out = materialize(labels, "cc-labels")
+    discard(*written)
+    return out
