@@ -49,6 +49,22 @@ def sized(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``all`` (a struct of all columns of ``docs``), ``id`` (doc_id), ``row`` (hash of the text): no name can clash."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("all"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("row"))
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*(F.col("all")[c].alias(c) for c in columns))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, row_bytes: int = 32) -> DataFrame:
+    """``docs`` less the rows whose doc_id and hash of the text are in ``gone`` (id, row; written before)."""
+    gone = sized(gone.select(F.col("id").alias("gone_id"), F.col("row").alias("gone_row")), row_bytes)
+    rows = packed(docs).join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("row") == F.col("gone_row")), "left_anti")
+    return unpacked(rows, docs.columns)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the third of the rows (crc32 of the id as text, mod 3 = 1) that nothing is learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import materialize
+from spanforge.llm.common import materialize, without_rows
 
 WINDOW, SHARE, RUN = 5, 0.6, 9
 BITMAP_BITS = 22
@@ -269,6 +269,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns; null and empty texts stay."""
-    bad = materialize(matches(docs, benchmark, **options).select("doc_id", "doc_row").distinct(), "dc-bad")
-    marked = docs.withColumn("dc_row", F.xxhash64("text")).withColumn("dc_id", F.col("doc_id").cast("bigint"))
-    return marked.join(bad, marked.dc_id.eqNullSafe(bad.doc_id) & (marked.dc_row == bad.doc_row), "left_anti").select(*(F.col(c) for c in docs.columns))
+    bad = matches(docs, benchmark, **options).select(F.col("doc_id").alias("id"), F.col("doc_row").alias("row")).distinct()
+    return without_rows(docs, materialize(bad, "dc-bad"))

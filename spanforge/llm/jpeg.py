@@ -17,6 +17,8 @@ import numpy as np
 
 UNIT = 64
 MOST_ROWS = 8191
+#: Payload bytes of one image; more are stored as images one after another. Bounds the arrays of a call, too.
+MOST_BYTES = UNIT * MOST_ROWS * 8
 # Code lengths of the common DC table for categories 0 to 11.
 DC_LENGTHS = (2, 3, 3, 3, 3, 3, 4, 5, 6, 7, 8, 9)
 
@@ -47,7 +49,7 @@ def shape(n: int) -> tuple[int, int]:
 
 
 def encode_all(payloads: list[np.ndarray]) -> list[bytes]:
-    """A JPEG of each payload (uint8, length a positive multiple of 64)."""
+    """A JPEG of each payload (uint8, length a positive multiple of 64, ``MOST_BYTES`` at most)."""
     if not payloads:
         return []
     dims = [shape(len(p)) for p in payloads]
@@ -159,6 +161,18 @@ def header(data: bytes) -> Header:
     raise ValueError("no scan")
 
 
+def images(data: bytes) -> list[bytes]:
+    """The JPEG files that lie one after another in ``data``; ValueError as in ``header``."""
+    out = []
+    while data:
+        end = data.find(b"\xff\xd9", header(data).scan)  # coded data can't hold it
+        if end < 0:
+            raise ValueError("no end")
+        out.append(data[: end + 2])
+        data = data[end + 2 :]
+    return out
+
+
 _LOOKUPS: dict[bytes, np.ndarray] = {}
 
 

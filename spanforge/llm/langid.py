@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.common import held_out, slices, utf8_column
 
-#: The bound of what is learned: documents a language, and bytes of each.
-SAMPLE_DOCS, SAMPLE_BYTES = 40, 1200
+#: The bound of what is learned: documents a language, bytes of each, and bytes of all languages together. The last one
+#: bounds the broadcast automata, too: two states a byte at most, four bytes for each state and symbol of its language.
+SAMPLE_DOCS, SAMPLE_BYTES, TOTAL_BYTES = 40, 1200, 1 << 20
 BLOCK = 512
-STEP_BYTES = 4 << 20
-BLANK, STRANGE = 0, 1
+STEP_BYTES = 1 << 20
+BLANK = 0
 SCHEMA = "doc_id bigint, row bigint, held_out boolean, lang_pred string, score double"
 
 
@@ -59,38 +60,31 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class CrossParser:
-    """Automata of all learned languages in one table: entry = next state * 2 + (1 if a new phrase begins)."""
+    """An automaton for each learned language, as a table over that language's symbols: entry = next state * 2 + (1 if a new phrase begins)."""
 
     def __init__(self, texts: dict[str, list[bytes]]):
         self.langs = sorted(texts)
         fold = np.full(256, BLANK, np.uint8)
-        seen = np.bincount(np.frombuffer(b"".join(b for ts in texts.values() for b in ts), np.uint8), minlength=256)
-        code = 2
-        for b in range(26):
-            fold[97 + b] = fold[65 + b] = code
-            code += 1
-        for b in range(128, 256):  # bytes of the learned languages' other letters, each for itself
-            fold[b] = STRANGE
-            if seen[b] and code < 100:
-                fold[b], code = code, code + 1
-        self.fold, self.width = fold, code
-        tables, self.roots, self.bits, base = [], [], [], 0
+        fold[97:123] = fold[65:91] = np.arange(2, 28)
+        fold[128:] = np.arange(28, 156)  # bytes of other letters, each for itself
+        self.fold, self.symbols, self.tables, self.bits = fold, [], [], []
         for lang in self.langs:
             joined = fold[np.frombuffer(b" ".join(texts[lang]), np.uint8)]
             joined = joined[np.r_[True, (joined[1:] != BLANK) | (joined[:-1] != BLANK)]] if len(joined) else joined
-            moves = suffix_automaton(joined.tolist())
-            root = np.zeros(self.width, np.int64) + base  # a symbol the language lacks is a phrase of its own
+            own = np.zeros(156, np.uint8)
+            known = np.unique(joined)
+            own[known] = np.arange(1, len(known) + 1)  # 0: a symbol that the language lacks, a phrase of its own
+            moves = suffix_automaton(own[joined].tolist())
+            root = np.zeros(len(known) + 1, np.int32)
             for s, to in moves[0].items():
-                root[s] = base + to
+                root[s] = to
             table = np.tile(root * 2 + 1, (len(moves), 1))
             for state, out in enumerate(moves):
                 for s, to in out.items():
-                    table[state, s] = (base + to) * 2
-            tables.append(table.astype(np.int32))
-            self.roots.append(base)
+                    table[state, s] = to * 2
+            self.symbols.append(own)
+            self.tables.append(table)
             self.bits.append(float(np.log2(max(2, len(joined)))))
-            base += len(moves)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
     def rates(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits a byte of each text (rows) by each language (columns)."""
@@ -111,23 +105,29 @@ class CrossParser:
         order = np.argsort(-size, kind="stable")
         start, size, doc = start[order], size[order], doc[order]
         phrases = np.zeros((len(self.langs), n))
-        for k, root in enumerate(self.roots):
-            state = np.full(len(start), root, np.int64)
+        for k, table in enumerate(self.tables):
+            width, table, mine = table.shape[1], table.ravel(), self.symbols[k][symbols]
+            state = np.zeros(len(start), np.int64)
             begun = np.zeros(len(start), np.int64)
             alive = len(start)
             for at in range(int(size[0]) if len(size) else 0):
                 while alive and size[alive - 1] <= at:
                     alive -= 1
-                got = self.table[state[:alive] * self.width + symbols[start[:alive] + at]]
+                got = table[state[:alive] * width + mine[start[:alive] + at]]
                 begun[:alive] += got & 1
                 state[:alive] = got >> 1
             phrases[k] = np.bincount(doc, begun + 1, n) * self.bits[k]  # each block's first phrase
         return (phrases / np.maximum(sizes, 1)).T
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> CrossParser:
-    """Learn from at most ``sample_docs`` rows a language, ``sample_bytes`` bytes of each; held-out rows are never read."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, total_bytes: int = TOTAL_BYTES) -> CrossParser:
+    """Learn from at most ``sample_docs`` rows a language, ``sample_bytes`` bytes of each; held-out rows are never read.
+
+    So many languages that this is over ``total_bytes`` have fewer rows each, one at least.
+    """
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
+    languages = known.select("lang").distinct().count()
+    sample_docs = max(1, min(sample_docs, total_bytes // (sample_bytes * max(1, languages))))
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(sample_docs))
     picks = known.groupBy("lang", slot.alias("slot")).agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null").select("doc_id").collect()
     ids = [r.doc_id for r in picks]

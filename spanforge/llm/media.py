@@ -49,34 +49,54 @@ def padded(text: bytes) -> bytes:
 def text_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the JPEG (``media``) that holds each row's whole text; a null text is empty.
 
+    A text of more than ``jpeg.MOST_BYTES`` is several JPEG files, one after another.
     Repeated rows give repeated results; an empty table gives none; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sizes, _, files in encoded(batches):
+        for ids, sizes, files in encoded(batches):
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
 
 
-def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, list[bytes], list[bytes]]]:
-    """Ids, text sizes, payloads and files of a few rows at a time."""
+def stored(payloads: list[bytes]) -> list[bytes]:
+    """The stored form of each payload: a JPEG, or several one after another where it is longer than one holds."""
+    pieces = [(i, p[k : k + jpeg.MOST_BYTES]) for i, p in enumerate(payloads) for k in range(0, len(p), jpeg.MOST_BYTES)]
+    out: list[list[bytes]] = [[] for _ in payloads]
+    for a, b in slices(np.cumsum([0, *(len(p) for _, p in pieces)]), STEP_BYTES):
+        for (i, _), file in zip(pieces[a:b], jpeg.encode_all([np.frombuffer(p, np.uint8) for _, p in pieces[a:b]])):
+            out[i].append(file)
+    return [f[0] if len(f) == 1 else b"".join(f) for f in out]
+
+
+def read_back(files: list[bytes]) -> list[tuple[bytes, str]]:
+    """Payload and feature (dimensions and thumbnail hash of each image) of each stored form."""
+    pieces = [(i, image) for i, f in enumerate(files) for image in jpeg.images(f)]
+    out: list[tuple[list, list]] = [([], []) for _ in files]
+    for a, b in slices(np.cumsum([0, *(len(p) for _, p in pieces)]), STEP_BYTES):
+        for (i, _), (h, dc) in zip(pieces[a:b], jpeg.decode([p for _, p in pieces[a:b]]), strict=True):
+            out[i][0].append(jpeg.payload(h, dc))
+            out[i][1].append(f"{h.width}x{h.height}:{jpeg.average_hash(jpeg.thumbnail(h, dc))}")
+    return [(b"".join(payload), ",".join(feature)) for payload, feature in out]
+
+
+def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, list[bytes]]]:
+    """Ids, text sizes and stored forms of a few rows at a time."""
     for batch in batches:
         data, offsets = utf8_column(batch.column(1))
         for a, b in slices(offsets, STEP_BYTES):
-            payloads = [padded(data[offsets[i] : offsets[i + 1]].tobytes()) for i in range(a, b)]
-            yield batch.column(0).slice(a, b - a), np.diff(offsets[a : b + 1]), payloads, jpeg.encode_all([np.frombuffer(p, np.uint8) for p in payloads])
+            yield batch.column(0).slice(a, b - a), np.diff(offsets[a : b + 1]), stored([padded(data[offsets[i] : offsets[i + 1]].tobytes()) for i in range(a, b)])
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """Digests of ``text_media``, of what is read back from the stored bytes; equal texts give equal values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sizes, _, files in encoded(batches):
+        for ids, sizes, files in encoded(batches):
             cols: list[list] = [[] for _ in range(6)]
-            for data, (h, dc) in zip(files, jpeg.decode(files), strict=True):
-                back = jpeg.payload(h, dc)
-                row = (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-jpeg.UNIT :]), len(data), hashlib.sha256(data).hexdigest(), f"{h.width}x{h.height}:{jpeg.average_hash(jpeg.thumbnail(h, dc))}")
+            for data, (back, feature) in zip(files, read_back(files), strict=True):
+                row = (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-jpeg.UNIT :]), len(data), hashlib.sha256(data).hexdigest(), feature)
                 for c, v in zip(cols, row):
                     c.append(v)
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import BROADCAST_BYTES, materialize
+from spanforge.llm.common import materialize, packed, sized, unpacked, without_rows
 from spanforge.llm.components import components
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 128
@@ -186,11 +186,6 @@ def verify(threshold: float):
     return run
 
 
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df``, marked for broadcast if its counted rows fit the bound."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
-
-
 def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """row, doc_id, class, group (both hashes; group null if the row stands alone) and n_links of every row.
 
@@ -206,7 +201,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
     buckets = keyed.groupBy("band", "key").agg(F.min("class").alias("first"), F.max("class").alias("last")).where("first <> last").select("band", "key", "first")
     cluster = components(keyed.join(buckets, ["band", "key"]).select(F.col("class").alias("u"), F.col("first").alias("v")))
     members = materialize(cluster.select(F.col("id").alias("class"), F.col("root").alias("cluster")).join(classes.select("class", "size", "row"), "class"), "nj-members")
-    wanted = small(members.select("row", "class", "cluster"), 24)
+    wanted = sized(members.select("row", "class", "cluster"), 24)
     texts = docs.select(F.xxhash64("text").alias("row"), "text").join(wanted, "row").groupBy("class", "cluster").agg(F.first("text").alias("text"))
     sets = materialize(gram_rows(texts, n).join(members.select("class", "size"), "class"), "nj-sets")
     load = sets.groupBy("cluster").agg(F.count("*").alias("m"), F.sum(F.size("grams").cast("bigint")).alias("g"))
@@ -238,14 +233,12 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     best = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")).select("group", F.col("best.doc_id").alias("best_id"), F.col("best.row").alias("best_row"))
     stays = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("row") == F.col("best_row"))
     fate = rows.groupBy("group", "doc_id", "row").agg(F.count("*").alias("times")).join(best, "group").select(F.col("doc_id").alias("nj_id"), F.col("row").alias("nj_row"), stays.alias("stays"), "times")
-    fate = materialize(fate.where("not stays or times > 1"), "nj-fate")
-    kept = [F.col(c) for c in docs.columns]
-    marked = docs.withColumn("nj_row", F.xxhash64("text")).withColumn("nj_id", F.col("doc_id").cast("bigint"))
-    gone = small(fate.where("not stays").select(F.col("nj_id").alias("gone_id"), F.col("nj_row").alias("gone_row")), 24)
-    out = marked.join(gone, F.col("nj_id").eqNullSafe(F.col("gone_id")) & (F.col("nj_row") == F.col("gone_row")), "left_anti")
-    again = fate.where("stays").select(F.col("nj_id").alias("again_id"), F.col("nj_row").alias("again_row"))
+    fate = materialize(fate.where("not stays or times > 1").withColumnsRenamed({"nj_id": "id", "nj_row": "row"}), "nj-fate")
+    out = without_rows(docs, fate.where("not stays"))
+    again = fate.where("stays").select(F.col("id").alias("again_id"), F.col("row").alias("again_row"))
     if again.isEmpty():
-        return out.select(kept)
-    equal = F.col("nj_id").eqNullSafe(F.col("again_id")) & (F.col("nj_row") == F.col("again_row"))
-    single, copies = out.join(small(again, 24), equal, "left_anti"), out.join(small(again, 24), equal, "left_semi")
-    return single.select(kept).unionByName(copies.dropDuplicates(["nj_id", "nj_row"]).select(kept))
+        return out
+    equal = F.col("id").eqNullSafe(F.col("again_id")) & (F.col("row") == F.col("again_row"))
+    again, rows = sized(again, 24), packed(out)
+    single, copies = rows.join(again, equal, "left_anti"), rows.join(again, equal, "left_semi")
+    return unpacked(single, docs.columns).unionByName(unpacked(copies.dropDuplicates(["id", "row"]), docs.columns))

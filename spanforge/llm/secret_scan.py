@@ -1,8 +1,9 @@
 """Secret scans over an incremental blob ledger.
 
-Every historical version is content-addressed (SHA-256 of its text). The ledger holds, for each blob and rule
-version scanned so far, the spans found. A run scans only the blob and rule-version pairs the ledger lacks, once a
-blob however many paths share it, and joins findings back to all paths. SQL functions only.
+Every historical version is content-addressed (SHA-256 of its text). The ledger, a Parquet table, holds for each blob
+and rule version scanned so far the spans found. A run scans only the blob and rule-version pairs the ledger lacks,
+once a blob however many paths share it, appends what it found, and joins the ledger's findings back to all paths. SQL
+functions only.
 
 Spans are found without user code: the pieces that ``split`` leaves and the matches of ``regexp_extract_all``
 alternate, so running sums of their lengths give the places (code points, end exclusive).
@@ -10,12 +11,16 @@ alternate, so running sums of their lengths give the places (code points, end ex
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.llm.common import shared_dir
+
 SPANS = "array<struct<start:bigint,end:bigint>>"
+LEDGER = f"blob string, kind string, version int, spans {SPANS}"
 
 
 @dataclass(frozen=True)
@@ -45,36 +50,14 @@ RULES = (
 BASE = ("assign", "access", "hex")
 
 
-def spans(text: Column, rule: Rule) -> Column:
-    """array<struct<start, end>> of a rule's matches."""
-    pattern = F.lit(rule.pattern)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    pieces = F.split(text, rule.pattern, -1)
-    empty = F.array().cast(SPANS)
-
-    def step(acc: Column, i: Column) -> Column:
-        match = F.get(acc["m"], i)
-        start = acc["at"] + F.char_length(F.get(acc["p"], i))
-        end = start + F.char_length(match)
-        enough = F.char_length(match if not rule.group else F.regexp_extract(match, rule.pattern, rule.group)) >= rule.least
-        one = F.array(F.struct(start.alias("start"), end.alias("end"))).cast(SPANS)
-        return F.struct(end.cast("bigint").alias("at"), F.when(enough, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"), acc["m"].alias("m"), acc["p"].alias("p"))
-
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"), found.alias("m"), pieces.alias("p"))
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), first, step, lambda acc: acc["out"])
-    present = text.contains(rule.hint) & text.rlike(rule.pattern) if rule.hint else text.rlike(rule.pattern)
-    return F.when(present, walked).otherwise(empty)
-
-
 def blob_of(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """New ledger rows: blob, kind, version, spans of the blob and rule-version pairs ``ledger`` lacks and that have findings or not.
+    """New ledger rows: blob, kind, version, spans of the blob and rule-version pairs ``ledger`` lacks, with findings or not.
 
-    ``versions`` has a ``text`` column; equal texts are one blob, a null text is the empty one. Append the result to the
-    ledger to keep the next run incremental.
+    ``versions`` has a ``text`` column; equal texts are one blob, a null text is the empty one.
     """
     blobs = versions.select(blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
     blobs = blobs.groupBy("blob").agg(F.first("text").alias("text"))
@@ -84,28 +67,56 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     else:
         seen = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws("/", "kind", F.col("version").cast("string"))).alias("seen"))
         pending = blobs.join(seen, "blob", "left").withColumn("pending", F.array_except(names, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("pending") > 0)
-    each = [F.when(F.array_contains("pending", r.name), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans(F.col("text"), r).alias("spans"))) for r in rules]
-    return pending.select("blob", F.explode(F.array_compact(F.array(*each))).alias("f")).select("blob", "f.*")
 
+    def scanned(r: Rule) -> Column:
+        """The rule's matches with the lengths of the pieces before them; none where a cheap test finds none."""
+        present = F.col("text").contains(r.hint) & F.col("text").rlike(r.pattern) if r.hint else F.col("text").rlike(r.pattern)
+        found = F.arrays_zip(F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0)).alias("m"), F.split("text", r.pattern, -1).alias("p"))
+        group = lambda m: F.regexp_extract(m, r.pattern, r.group) if r.group else m
+        sizes = F.transform(found, lambda x: F.struct(F.char_length(x["p"]).cast("bigint").alias("before"), F.char_length(x["m"]).cast("bigint").alias("size"), (F.char_length(group(x["m"])) >= r.least).alias("enough")))
+        return F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.when(present, sizes).alias("matches"))
+
+    each = F.array_compact(F.array(*(F.when(F.array_contains("pending", r.name), scanned(r)) for r in rules)))
+    matches = pending.select("blob", F.explode(each).alias("f")).select("blob", "f.kind", "f.version", F.posexplode_outer("f.matches").alias("i", "m"))
+    # running sums along a blob's matches; the piece behind the last one has no match
+    along = Window.partitionBy("blob", "kind", "version").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = matches.select("blob", "kind", "version", F.col("m.size").alias("size"), F.col("m.enough").alias("enough"), F.sum(F.col("m.before") + F.coalesce("m.size", F.lit(0))).over(along).alias("end"))
+    span = F.when(F.col("enough"), F.struct((F.col("end") - F.col("size")).alias("start"), "end"))
+    return ends.groupBy("blob", "kind", "version").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
-def findings(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``versions`` with ``blob`` and ``found``: array<struct<start, place, kind, end>> by start, then rule order.
+
+def update(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger at ``path`` (made if there is none) after what it lacks of ``versions`` was scanned and appended."""
+    spark = versions.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    new = scan_unseen(versions, spark.read.schema(LEDGER).parquet(path) if there else None, rules)
+    new.select("blob", "kind", "version", F.col("spans").cast(SPANS)).write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def findings(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``versions`` with ``blob`` and ``found``: array<struct<start, place, kind, end>> by start, then rule order; see ``update``.
 
     Every row (path) of ``versions`` is kept, repeated and null ones too; an empty table gives an empty one. Columns
-    named blob or found are replaced.
+    named blob or found are replaced. A ledger row counts once however often it was appended.
     """
     order = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))))
-    new = scan_unseen(versions, ledger, rules).where(F.size("spans") > 0)
-    known = new if ledger is None else new.unionByName(ledger.join(F.broadcast(versions.sparkSession.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")), ["kind", "version"]).select(*new.columns))
+    current = F.concat_ws("/", "kind", F.col("version").cast("string")).isin(*(r.name for r in rules))
+    known = update(versions, path, rules).where(current & (F.size("spans") > 0))
     flat = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[F.col("kind")].alias("place"), F.col("kind").alias("kind"), s["end"].alias("end")))
-    by_blob = known.select("blob", flat.alias("found")).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    by_blob = known.select("blob", F.explode(flat).alias("found")).groupBy("blob").agg(F.array_sort(F.collect_set("found")).alias("found"))
     base = versions.drop("blob", "found").withColumn("blob", blob_of(F.col("text")))
     return base.join(by_blob, "blob", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<start:bigint,place:int,kind:string,end:bigint>>")))
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row's whole text (null: empty)."""
-    rows = findings(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+def digest(docs: DataFrame, ledger: str | None = None) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row's whole text (null: empty).
+
+    The ledger is a new one in the shared folder; give a path to keep it between runs.
+    """
+    path = ledger or f"{shared_dir(docs.sparkSession).rstrip('/')}/secret-ledger-{uuid.uuid4().hex}"
+    rows = findings(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), path)
     text = lambda found: F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     base = F.filter("found", lambda x: x["kind"].isin(*BASE))

@@ -26,7 +26,9 @@ def odd(spark):
     """Nulls, empty and long texts, repeated rows, and columns whose names operators use themselves."""
     rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, "the and of " * 9000, "en", None, 9), (3, "漢字😀\n\x00\t%|", None, "b", 3), (None, "the and of it\nthe and of it", "en", "a", 1), (None, "the and of it\nthe and of it", "en", "a", 1)]
     df = spark.createDataFrame(rows, DOCS)
-    return df.withColumn("size", F.lit("x")).withColumn("row", F.lit(1)).withColumn("copies", F.lit(2)).withColumn("class", F.lit(3)).withColumn("line", F.lit(4)).withColumn("n_dropped", F.lit(5))
+    for name in ("all", "id", "row", "of", "places", "ld_id", "gone_id", "bad_id", "bad_row", "dc_id", "nj_id", "nj_row", "again_id", "page", "held_out", "score", "blob"):
+        df = df.withColumn(name, F.lit(name))
+    return df.withColumn("size", F.lit("x")).withColumn("copies", F.lit(2)).withColumn("class", F.lit(3)).withColumn("line", F.lit(4)).withColumn("n_dropped", F.lit(5))
 
 
 def union_find(pairs, ids):
@@ -143,8 +145,8 @@ def test_line_dedup(spark, odd):
     rows = [base[0] + "\nshort line", base[0] + "\n\n" + base[1] + "\n", base[2] + "\n" + base[1].upper() + "!", base[3] + "\n---\n---", "\t".join(words) + "\n" + base[4], "new\n" + " ".join(words) + " "]
     got = dropped(spark, rows)
     assert got == {0: (rows[0], 0), 1: ("\n" + base[1] + "\n", 1), 2: (base[2], 1), 3: (rows[3], 0), 4: (rows[4], 0), 5: ("new", 1)}
-    out = line_dedup.dedup(odd.withColumn("places", F.lit(1)).withColumn("ld_id", F.lit(2)).withColumn("of", F.lit(3)).withColumn("all", F.lit(4)))
-    assert out.columns == [*(c for c in odd.columns if c != "n_dropped"), "places", "ld_id", "of", "all", "n_dropped"]
+    out = line_dedup.dedup(odd)
+    assert out.columns == [*(c for c in odd.columns if c != "n_dropped"), "n_dropped"]
     assert out.count() == 7 and line_dedup.dedup(odd.limit(0)).count() == 0 and out.where("text is null").count() == 1
     # of two equal rows one loses every line with a word
     assert sorted((x.text, x.n_dropped) for x in out.where("doc_id is null and text is not null").collect()) == [("", 2), ("the and of it", 1)]
@@ -247,16 +249,32 @@ def test_bands():
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= ngram_join.MOST_HASHES
 
 
-def test_secret_scan_is_incremental(spark, odd):
-    df = spark.createDataFrame([(1, "x password: abcdefgh1 y"), (2, "AKIAABCDEFGHIJKL"), (3, "é😀 token=short1 " + "0" * 40), (4, "x password: abcdefgh1 y"), (5, None)], "doc_id bigint, text string")
-    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.spans) for r in secret_scan.digest(df).collect()}
-    assert got == {1: (1, 0, 0, "assign:2:21"), 2: (0, 1, 0, "access:0:16"), 3: (0, 0, 1, "hex:16:56"), 4: (1, 0, 0, "assign:2:21"), 5: (0, 0, 0, "")}
-    ledger = secret_scan.scan_unseen(df).cache()
-    assert ledger.select("blob").distinct().count() == 4 and secret_scan.scan_unseen(df, ledger).count() == 0
+def test_secret_scan_is_incremental(spark, odd, tmp_path):
+    rows = [(1, "x password: abcdefgh1 y"), (2, "AKIAABCDEFGHIJKL"), (3, "é😀 token=short1 " + "0" * 40), (4, "x password: abcdefgh1 y"), (5, None)]
+    df, path = spark.createDataFrame(rows, "doc_id bigint, text string"), f"{tmp_path}/ledger"
+    want = {1: (1, 0, 0, "assign:2:21"), 2: (0, 1, 0, "access:0:16"), 3: (0, 0, 1, "hex:16:56"), 4: (1, 0, 0, "assign:2:21"), 5: (0, 0, 0, "")}
+    digest = lambda: {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.spans) for r in secret_scan.digest(df, path).collect()}
+    assert digest() == want
+    ledger = spark.read.parquet(path)
+    n = ledger.count()
+    assert n == 4 * len(secret_scan.RULES) and secret_scan.scan_unseen(df, ledger).count() == 0
+    assert digest() == want and spark.read.parquet(path).count() == n  # a second run scans nothing
+    ledger.where("kind = 'assign'").write.mode("append").parquet(path)
+    assert digest() == want  # rows appended twice count once
     newer = (*secret_scan.RULES[1:], secret_scan.Rule("assign", 2, secret_scan.RULES[0].pattern, 2, 8))
     assert {(r.kind, r.version) for r in secret_scan.scan_unseen(df, ledger, newer).collect()} == {("assign", 2)}
-    found = secret_scan.findings(df, ledger).where(F.size("found") > 0).count()
-    assert found == 4 and secret_scan.digest(odd).count() == 7 and secret_scan.digest(odd.limit(0)).count() == 0
+    assert secret_scan.findings(df, path, newer).where(F.size("found") > 0).count() == 4
+    assert secret_scan.digest(odd).count() == 7 and secret_scan.digest(odd.limit(0)).count() == 0
+
+
+def test_secret_scan_matches_a_plain_scan(spark, docs):
+    """Spans of every rule against Python's regular expressions, many matches a text too."""
+    many = " ".join(f"token='{'Ab1=' * k}' {'f' * (28 + k)}é AKIA{'Z' * k}" for k in range(60))
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, many * 20), (-2, many), (-3, many)], "doc_id bigint, text string"))
+    texts = {r.doc_id: r.text or "" for r in df.collect()}
+    for r in secret_scan.digest(df).collect():
+        found = sorted((m.start(), i, rule.kind, m.end()) for i, rule in enumerate(secret_scan.RULES) for m in re.finditer(rule.pattern, texts[r.doc_id]) if len(m[rule.group]) >= rule.least)
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for a, _, k, b in found)
 
 
 def test_quality(spark, docs, odd):
@@ -340,10 +358,58 @@ def test_main_text(spark):
     assert wrapper.main_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_main_text_learns_templates_without_telling_names(spark):
+    """Two layouts of a host whose constant parts have no telling element or class; deep and wide pages, repeated rows, clashing names."""
+    r = random.Random(4)
+    words = made_words(r, 500)
+    some = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rows, want = [], {}
+    for k in range(24):
+        main = [some(r.randrange(5, 30)) for _ in range(r.randrange(1, 5))]
+        want[k] = " ".join(main)
+        paragraphs = "".join(f"<p>{m}</p>" for m in main)
+        if k % 3:
+            body = f"<div class=x1><p>Our house paper</p><p>All rights kept</p></div><div class=x2>{paragraphs}</div><div class=x3><p>Write to us</p></div>"
+        else:
+            body = f"<table><tr><td>Old pages<td>Sold here</table><section><div>{paragraphs}</div></section><div class=y><p>Made in town</p></div>"
+        rows.append((k, f"http://a.example/{k}", f"<html><body>{body}</body></html>"))
+    rows += [rows[0], rows[1]]
+    deep = "<div>" * 5000 + "<p>low</p>" + "</div>" * 5000
+    wide = lambda a, b: "".join(f"<{(a, b)[k % 2]}>t{k}</{(a, b)[k % 2]}>" for k in range(1200))
+    rows += [(100 + k, "http://deep.example/", deep.replace("low", f"low{k}")) for k in range(3)] + [(200 + k, "http://wide.example/", "<body>" + wide("p", ("h2", "h3", "pre")[k])) for k in range(3)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("host", F.lit("h")).withColumn("blocks", F.lit(1)).withColumn("ref", F.lit(1))
+    got = collections.defaultdict(list)
+    for x in wrapper.main_text(df).collect():
+        got[x.page_id].append(x.text)
+    assert all(set(got[k]) == {want[k]} for k in want) and len(got[0]) == len(got[1]) == 2
+    assert [got[100 + k] for k in range(3)] == [["low0"], ["low1"], ["low2"]]
+    assert all(got[200 + k] == [" ".join(f"t{i}" for i in range(1200))] for k in range(3))
+
+
 def test_tree_match():
+    """Against the definition: the largest order-preserving match, by recursion over all pairs."""
     a, b = wrapper.tree("r(a,b(c,d),e)"), wrapper.tree("r(b(d),e,f)")
-    size, to = wrapper.tree_match(a, b)
-    assert size == 4 and to == {0: 0, 2: 1, 4: 2, 5: 3}
+    assert wrapper.tree_match(a, b) == (4, {0: 0, 2: 1, 4: 2, 5: 3})
+    r = random.Random(6)
+
+    def made(depth):
+        inner = [made(depth - 1) for _ in range(r.randrange(4) if depth else 0)]
+        return r.choice("ab") + (f"({','.join(inner)})" if inner else "")
+
+    def most(x, y):
+        if x.label != y.label:
+            return 0
+        best = [[0] * (len(y.children) + 1) for _ in range(len(x.children) + 1)]
+        for i, c in enumerate(x.children, 1):
+            for j, d in enumerate(y.children, 1):
+                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + most(c, d))
+        return 1 + best[-1][-1]
+
+    for _ in range(200):
+        a, b = wrapper.tree("r(" + made(3) + "," + made(3) + ")"), wrapper.tree("r(" + made(3) + "," + made(3) + ")")
+        size, to = wrapper.tree_match(a, b)
+        assert size == len(to) <= most(a, b) and size >= 0.9 * most(a, b)
+        assert [to[k] for k in sorted(to)] == sorted(to.values())
 
 
 def test_jpeg_round_trip(spark, docs, odd):
@@ -352,6 +418,9 @@ def test_jpeg_round_trip(spark, docs, odd):
     files = jpeg.encode_all(payloads)
     assert all(jpeg.payload(*x) == p.tobytes() for x, p in zip(jpeg.decode(files), payloads))
     assert jpeg.decode([b"", b"junk", files[0][:40]]) == [None] * 3
+    long = media.padded(r.integers(0, 256, 2 * jpeg.MOST_BYTES + 100, dtype=np.uint8).tobytes())
+    (whole,) = media.stored([long])
+    assert [x[0] for x in media.read_back([whole, files[0]])] == [long, payloads[0].tobytes()] and len(jpeg.images(whole)) == 3
     for df in (docs, odd):
         texts = [r.text or "" for r in df.collect()]
         out = media.digests(df).collect()
@@ -401,6 +470,16 @@ def test_jpeg_with_components():
     assert all(got[i, j] == luma[i, j] for i in range(3) for j in range(5))
 
 
+def test_pipeline_takes_odd_rows(spark, odd):
+    """Nulls, empty, long and repeated rows, and clashing names, through each stage."""
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns
+        assert stage(spark, odd.limit(0), SF).count() == 0
+        assert out.count() == {"language_id": 4}.get(name, out.count())
+    assert corpus_pipeline.mix(spark, odd, SF).columns == [*odd.columns, "copy"]
+
+
 def test_pipeline(spark, docs):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language_id", "line_dedup", "ngram_join", "decontamination", "mixing"]
