@@ -198,6 +198,22 @@ def test_line_dedup_groups_are_those_of_all_pairs(spark):
     assert sum(got[i] == got[j] for i, j in pairs) >= 0.97 * len(pairs)
 
 
+def test_edits_of_pieces_bound_those_of_lines(spark):
+    r = random.Random(1)
+    words, rows = made_words(r, 300), []
+    for _ in range(200):
+        x = [r.choice(words) for _ in range(r.randrange(32, 120))]
+        y = list(x)
+        for _ in range(r.randrange(len(x) // 3)):
+            k = r.randrange(len(y))
+            y[k : k + r.choice([0, 1, 1, 9])] = [r.choice(words)] * r.randrange(3)
+        rows.append((" ".join(x), " ".join(y)))
+    df = spark.createDataFrame(rows, "x string, y string").select("*", *(line_dedup.word_code(F.col(t)).alias(f"c{t}") for t in "xy"), *(F.split(t, " ").alias(f"w{t}") for t in "xy"))
+    assert all(p.bound >= distance(p.x, p.y) for p in df.select("x", "y", F.expr(line_dedup.piecewise()).alias("bound")).collect())
+    got = {(p.x, p.y) for p in line_dedup.alike(df.drop("wx", "wy"), 0.8).collect()}
+    assert got == {p for p in rows if similar(*p)} and 40 < len(got) < 160
+
+
 def test_line_dedup_without_blanks(spark):
     r = random.Random(3)
     line = "".join(chr(r.randrange(0x4E00, 0x5200)) for _ in range(80))
