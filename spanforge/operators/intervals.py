@@ -27,12 +27,53 @@ def overlap_join(a: DataFrame, b: DataFrame, tile: int = TILE) -> DataFrame:
     return left.join(right, on).drop("_tile", "_b_tile")
 
 
+def running_sums(events: DataFrame, values: list[str], asked: DataFrame, tile: int = TILE) -> DataFrame:
+    """``asked`` (chrom, pos, order and more) with the sums of ``values`` over the events of its chrom at or before (pos, order).
+
+    ``events``: chrom, pos, order, values. Two levels: sums along tiles, a row a tile, and inside each tile.
+    """
+    more = [c for c in asked.columns if c not in ("chrom", "pos", "order")]
+    summed = events.groupBy("chrom", "pos", "order").agg(*(F.sum(v).alias(v) for v in values))
+    nothing = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in more]
+    rows = summed.select("chrom", "pos", "order", *values, F.lit(False).alias("_asked"), *nothing)
+    rows = rows.unionByName(asked.select("chrom", "pos", "order", *(F.lit(0).alias(v) for v in values), F.lit(True).alias("_asked"), *more))
+    rows = rows.withColumn("_tile", F.floor(F.col("pos") / tile))
+    tiles = summed.withColumn("_tile", F.floor(F.col("pos") / tile)).groupBy("chrom", "_tile").agg(*(F.sum(v).alias(f"_{v}") for v in values))
+    there = asked.select("chrom", F.floor(F.col("pos") / tile).alias("_tile")).distinct()
+    tiles = tiles.join(there, ["chrom", "_tile"], "full")
+    before = Window.partitionBy("chrom").orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    tiles = tiles.select("chrom", "_tile", *(F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}") for v in values))
+    within = Window.partitionBy("chrom", "_tile").orderBy("pos", "order")
+    found = rows.select("chrom", "pos", "order", "_tile", "_asked", *more, *(F.sum(v).over(within).alias(v) for v in values)).where("_asked")
+    return found.join(tiles, ["chrom", "_tile"]).select("chrom", "pos", "order", *more, *((F.col(v) + F.col(f"_{v}")).alias(v) for v in values))
+
+
+def overlap_sums(a: DataFrame, b: DataFrame, key: list[str], tile: int = TILE) -> DataFrame:
+    """``key``, n and bp of each row of ``a`` that overlaps rows of ``b``: how many, and the bases of all overlaps together.
+
+    No pair is made: what overlaps [s, e) has begun before e, less what has ended by s; likewise the bases, from sums of
+    starts and ends. So a region under any number of fibers costs what any other one does.
+    """
+    b = b.where("b_end > b_start")
+    side = lambda pos, order, first, last: F.struct(F.col(pos).alias("pos"), F.lit(order).alias("order"), F.lit(first).alias("begun"), F.lit(last).alias("ended"), (F.col(pos) * first).alias("starts"), (F.col(pos) * last).alias("ends"))
+    events = b.select(F.col("b_chrom").alias("chrom"), F.explode(F.array(side("b_start", 2, 1, 0), side("b_end", 0, 0, 1))).alias("e")).select("chrom", "e.*")
+    # at one position: ends, then what is asked, then starts
+    ask = lambda pos, is_end: F.struct(F.col(pos).alias("pos"), F.lit(1).alias("order"), F.lit(is_end).alias("is_end"))
+    asked = a.where("end > start").select("chrom", *key, F.explode(F.array(ask("start", False), ask("end", True))).alias("e")).select("chrom", "e.*", *key)
+    sums = running_sums(events, ["begun", "ended", "starts", "ends"], asked, tile)
+    covered = F.col("pos") * (F.col("begun") - F.col("ended")) - F.col("starts") + F.col("ends")
+    at = sums.select(*key, "is_end", "begun", "ended", covered.alias("bp"))
+    pick = lambda c, is_end: F.max(F.when(F.col("is_end") == is_end, F.col(c)))
+    return at.groupBy(*key).agg((pick("begun", True) - pick("ended", False)).alias("n"), (pick("bp", True) - pick("bp", False)).alias("bp")).where("n > 0")
+
+
 def overlap_semi(a: DataFrame, b: DataFrame, key: list[str], fraction: float = 0.0, tile: int = TILE, anti: bool = False) -> DataFrame:
     """Rows of ``a`` that overlap some row of ``b`` (by ``fraction`` of their length), or none; ``key`` names a row."""
-    pairs = overlap_join(a, b, tile)
     if fraction:
-        pairs = pairs.where((F.least("end", "b_end") - F.greatest("start", "b_start")) >= F.lit(fraction) * (F.col("end") - F.col("start")))
-    return a.join(pairs.select(*key).distinct(), key, "left_anti" if anti else "left_semi")
+        met = overlap_join(a, b, tile).where((F.least("end", "b_end") - F.greatest("start", "b_start")) >= F.lit(fraction) * (F.col("end") - F.col("start"))).select(*key).distinct()
+    else:
+        met = overlap_sums(a, b, key, tile).select(*key)
+    return a.join(met, key, "left_anti" if anti else "left_semi")
 
 
 def point_join(a: DataFrame, points: DataFrame, tile: int = TILE) -> DataFrame:
@@ -97,7 +138,8 @@ def shuffle(df: DataFrame, contigs: DataFrame, key: Column, seed: int = 42, repl
     """Each interval at a uniform place of its contig, its length kept; a function of (key, seed, replica) alone."""
     many = df.join(contigs, "chrom").withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(replicas)))) if replicas > 1 else df.join(contigs, "chrom").withColumn("replica", F.lit(1))
     room = F.greatest(F.col("length") - (F.col("end") - F.col("start")) + 1, F.lit(1))
-    placed = many.withColumn("_s", F.pmod(F.xxhash64(key, F.lit(seed), F.col("replica")), room))
+    digest = F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed)), F.col("replica").cast("string")))
+    placed = many.withColumn("_s", F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % room)
     return placed.withColumn("end", F.col("_s") + F.col("end") - F.col("start")).withColumn("start", F.col("_s")).drop("_s", "length")
 
 
@@ -116,17 +158,21 @@ def weighted_median(df: DataFrame, value: str, weight: str, by: list[str]) -> Da
     return cum.groupBy(*by).agg(((low + high) / 2.0).alias("median"))
 
 
-def nearest(scores: DataFrame, table: DataFrame) -> DataFrame:
+def nearest(scores: DataFrame, table: DataFrame, tile: int = 4096) -> DataFrame:
     """``scores`` (s) with the value of the nearest key of ``table`` (key, value); ties go to the lower key.
 
-    Both sides are ranked in one sorted union per score, so nothing is broadcast: the last key at or below and the first at
-    or above.
+    The last key at or below and the first at or above, in two levels: inside a tile of ``tile`` keys, and along tiles, a
+    row a tile.
     """
     keys = table.select(F.col("key").alias("s"), F.struct("key", "value").alias("k"))
     asked = scores.select("s").distinct().select("s", F.lit(None).cast(keys.schema["k"].dataType).alias("k"))
-    both = asked.unionByName(keys)
-    low = F.last("k", ignorenulls=True).over(Window.orderBy("s").rangeBetween(Window.unboundedPreceding, 0))
-    high = F.first("k", ignorenulls=True).over(Window.orderBy("s").rangeBetween(0, Window.unboundedFollowing))
-    found = both.withColumn("lo", low).withColumn("hi", high).where("k is null")
+    both = asked.unionByName(keys).withColumn("_tile", F.floor(F.col("s") / tile))
+    # aggregated before the windows, which then see a row a tile
+    tiles = both.groupBy("_tile").agg(F.min("k").alias("least"), F.max("k").alias("most"))
+    along = Window.orderBy("_tile")
+    tiles = tiles.select("_tile", F.last("most", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("below"), F.first("least", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("above"))
+    within = Window.partitionBy("_tile").orderBy("s")
+    low, high = F.last("k", ignorenulls=True).over(within.rangeBetween(Window.unboundedPreceding, 0)), F.first("k", ignorenulls=True).over(within.rangeBetween(0, Window.unboundedFollowing))
+    found = both.withColumn("lo", low).withColumn("hi", high).where("k is null").join(tiles, "_tile").select("s", F.coalesce("lo", "below").alias("lo"), F.coalesce("hi", "above").alias("hi"))
     pick = F.when(F.col("hi").isNull() | (F.col("s") - F.col("lo.key") <= F.col("hi.key") - F.col("s")), F.col("lo.value")).otherwise(F.col("hi.value"))
     return scores.join(found.select("s", F.when(F.col("lo").isNull(), F.col("hi.value")).otherwise(pick).alias("value")), "s", "left")

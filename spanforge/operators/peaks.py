@@ -16,34 +16,53 @@ def fdr_table(scores: DataFrame) -> DataFrame:
     """threshold, fdr, shuffled_bp, real_bp from (score, bp, is_real).
 
     Cumulative bases from the highest score down, for every distinct score but the lowest; a sentinel at -1; then rows
-    alike in fdr (millionths), shuffled bases, real bases and threshold (hundredths) keep their last. One row a distinct
-    score is left by the aggregation, so the unpartitioned windows are small.
+    alike in fdr (millionths), shuffled bases, real bases and threshold (hundredths) keep their last, each in the order
+    of the step before. Sums run inside hundredths of a score, and along hundredths: a row each, however many scores
+    there are.
     """
     whole = scores.where("score >= 0").groupBy("score").agg(F.sum(F.when(F.col("is_real"), F.col("bp")).otherwise(0)).alias("r"), F.sum(F.when(F.col("is_real"), 0).otherwise(F.col("bp"))).alias("v"))
-    down = Window.orderBy(F.desc("score"))
-    cum = whole.select("score", F.sum("v").over(down).alias("v"), F.sum("r").over(down).alias("r"), F.min("score").over(Window.partitionBy()).alias("least"))
+    whole = whole.withColumn("step", F.floor(F.col("score") * 100))
+    steps = whole.groupBy("step").agg(F.sum("v").alias("sv"), F.sum("r").alias("sr"), F.min("score").alias("low"))
+    above = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.select("step", F.coalesce(F.sum("sv").over(above), F.lit(0)).alias("sv"), F.coalesce(F.sum("sr").over(above), F.lit(0)).alias("sr"), F.min("low").over(Window.partitionBy()).alias("least"))
+    down = Window.partitionBy("step").orderBy(F.desc("score"))
+    cum = whole.select("score", "step", F.sum("v").over(down).alias("v"), F.sum("r").over(down).alias("r")).join(F.broadcast(steps), "step")
+    cum = cum.select("score", "least", (F.col("v") + F.col("sv")).alias("v"), (F.col("r") + F.col("sr")).alias("r"))
     rows = cum.where("score > least and r > 0").select(F.col("score").alias("threshold"), F.col("v").cast("double").alias("v"), F.col("r").cast("double").alias("r"))
     spark = scores.sparkSession
     rows = rows.unionByName(spark.range(1).select(F.lit(-1.0).alias("threshold"), F.lit(1.0).alias("v"), F.lit(1.0).alias("r")))
-    rows = rows.withColumn("fdr", F.least(F.lit(1.0), F.col("v") / F.col("r"))).withColumn("o", F.row_number().over(Window.orderBy(F.desc("threshold"))))
-    for key, scale in (("fdr", 1e6), ("v", 1.0), ("r", 1.0)):
-        rows = rows.withColumn("o", F.row_number().over(Window.orderBy(key, "o"))).withColumn("k", F.floor(F.col(key) * scale))
-        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("o")))).where("n = 1").drop("n", "k")
-    rows = rows.withColumn("threshold", F.round("threshold", 2)).withColumn("o", F.row_number().over(Window.orderBy("threshold", "o")))
-    rows = rows.withColumn("k", F.when(F.col("threshold") < 0, F.ceil(F.col("threshold") * 100)).otherwise(F.floor(F.col("threshold") * 100)))
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("o")))).where("n = 1")
+    rows = rows.withColumn("fdr", F.least(F.lit(1.0), F.col("v") / F.col("r"))).withColumn("rank", -F.col("threshold"))
+    hundredth = F.when(F.col("threshold") < 0, F.ceil(F.col("threshold") * 100)).otherwise(F.floor(F.col("threshold") * 100))
+    order, columns = ["rank"], ["threshold", "v", "r", "fdr", "rank"]
+    for key, alike in (("fdr", F.floor(F.col("fdr") * 1e6)), ("v", F.floor("v")), ("r", F.floor("r")), ("threshold", hundredth)):
+        order = [key, *order]
+        if key == "threshold":
+            rows = rows.withColumn("threshold", F.round("threshold", 2))
+        last = F.max_by(F.struct(*columns), F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order))))
+        rows = rows.groupBy(alike.alias("alike")).agg(last.alias("row")).select("row.*")
     return rows.select("threshold", "fdr", F.col("v").alias("shuffled_bp"), F.col("r").alias("real_bp"))
 
 
+#: Scores are 0 to 100, so a table by hundredths has so many steps, the sentinel's at -1 the first.
+LEAST_STEP, MOST_STEP = -100, 10_000
+
+
 def lookup_fdr(scores: DataFrame, table: DataFrame, score: str = "score") -> DataFrame:
     """``scores`` with the fdr of the highest threshold at or below; of the lowest if there is none, 1 without a table.
 
-    The table has at most one row a hundredth of a score: its size is bounded, so it is broadcast as ranges.
+    Thresholds are hundredths. The table is spread to all hundredths - a fixed number of rows, broadcast - and joined by
+    equality; as score * 100 may be rounded over a step's edge, a step knows its neighbours' values and its edges.
     """
-    by = Window.orderBy("threshold")
-    ranges = table.select(F.when(F.row_number().over(by) == 1, float("-inf")).otherwise(F.col("threshold")).alias("lo"), F.coalesce(F.lead("threshold").over(by), F.lit(float("inf"))).alias("hi"), F.col("fdr").alias("_fdr"))
-    found = scores.join(F.broadcast(ranges), (F.col(score) >= F.col("lo")) & (F.col(score) < F.col("hi")), "left")
-    return found.withColumn("fdr", F.coalesce("_fdr", F.lit(1.0))).drop("lo", "hi", "_fdr")
+    steps = scores.sparkSession.range(LEAST_STEP, MOST_STEP + 1).select(F.col("id").alias("step"))
+    known = table.select(F.round(F.col("threshold") * 100).cast("bigint").alias("step"), "fdr")
+    along = Window.orderBy("step")
+    dense = steps.join(known, "step", "left").select("step", F.coalesce(F.last("fdr", ignorenulls=True).over(along), F.first("fdr", ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing)), F.lit(1.0)).alias("f"))
+    dense = dense.select(F.col("step").alias("_step"), F.lag("f", 1).over(along).alias("_before"), F.col("f").alias("_f"), F.lead("f", 1).over(along).alias("_after"))
+    step = F.greatest(F.lit(LEAST_STEP), F.least(F.lit(MOST_STEP), F.floor(F.col(score) * 100)))
+    found = scores.withColumn("_at", step).join(F.broadcast(dense), F.col("_at") == F.col("_step"), "left")
+    edge = lambda k: (F.col("_at") + k) / 100.0
+    value = F.when(F.col(score) < edge(0), F.coalesce("_before", "_f")).when(F.col(score) >= edge(1), F.coalesce("_after", "_f")).otherwise(F.col("_f"))
+    return found.withColumn("fdr", F.coalesce(value, F.lit(1.0))).drop("_at", "_step", "_before", "_f", "_after")
 
 
 def islands(bases: DataFrame) -> DataFrame:

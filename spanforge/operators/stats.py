@@ -40,13 +40,21 @@ def m6a_per_msp(annotations: DataFrame) -> DataFrame:
     return inside.groupBy("m6a_count", (F.col("q_end") - F.col("q_start")).alias("msp_size"), (F.col("qual") >= 230).alias("is_fire")).agg(F.sum("times").alias("count"))
 
 
+#: Ids of a group whose lengths are summed first.
+GROUP = 4096
+
+
 def autocorrelation(marks: DataFrame, fibers: DataFrame, max_lag: int = 250) -> DataFrame:
     """(lag, acf) of the 0/1 vectors of all fibers, one after another by fiber_id; biased, by lag 0.
 
     ``marks``: fiber_id, pos (distinct); ``fibers``: fiber_id, read_length. With x sparse, sums over products are counts of
     mark pairs at a lag, and the mean's terms are counts of marks near either end.
     """
-    offsets = fibers.select("fiber_id", "read_length", (F.sum("read_length").over(Window.orderBy("fiber_id")) - F.col("read_length")).alias("off"))
+    # running sums in two levels: along groups of ids, a row a group, and inside each
+    grouped = fibers.select("fiber_id", "read_length", F.expr(f"fiber_id div {GROUP}").alias("g"))
+    groups = grouped.groupBy("g").agg(F.sum("read_length").alias("n")).select("g", (F.sum("n").over(Window.orderBy("g")) - F.col("n")).alias("before"))
+    own = F.sum("read_length").over(Window.partitionBy("g").orderBy("fiber_id")) - F.col("read_length")
+    offsets = grouped.select("fiber_id", "g", own.alias("own")).join(groups, "g").select("fiber_id", (F.col("own") + F.col("before")).alias("off"))
     at = marks.join(offsets, "fiber_id").select((F.col("off") + F.col("pos")).alias("p"))
     size = fibers.agg(F.sum("read_length").alias("n"))
     tile = max_lag + 1
@@ -84,8 +92,8 @@ def balance(df: DataFrame, label: str, seed: int = 42) -> DataFrame:
     """As many rows of each label as the rarest has, by hash order; ranks inside hash buckets keep no label in one task."""
     sizes = df.groupBy(label).agg(F.count("*").alias("n"))
     least = sizes.agg(F.min("n").alias("least"))
-    h = F.xxhash64(*df.columns, F.lit(seed))
-    bucketed = df.withColumn("_h", h).withColumn("_b", F.pmod("_h", F.lit(256)))
+    h = F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in df.columns), F.lit(str(seed))))
+    bucketed = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 2))
     counts = bucketed.groupBy(label, "_b").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = bucketed.withColumn("_r", F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h"))).join(before, [label, "_b"]).crossJoin(F.broadcast(least))

@@ -184,8 +184,7 @@ OVERLAP = 'r.chrom = f.chrom AND f.ref_start < r."end" AND r.start < f.ref_end'
 
 @query(f"SELECT r.region_id, r.name, count(*) AS n, sum(least(f.ref_end, r.\"end\") - greatest(f.ref_start, r.start))::BIGINT AS bp FROM fibers f JOIN regions r ON {OVERLAP} GROUP BY ALL")
 def join_region_overlap(spark, d):
-    pairs = intervals.overlap_join(as_intervals(T.fibers(spark, d)), as_b(T.regions(spark, d), "region_id", "name"))
-    return pairs.groupBy("region_id", "name").agg(F.count("*").alias("n"), F.sum(F.least("end", "b_end") - F.greatest("start", "b_start")).alias("bp"))
+    return intervals.overlap_sums(T.regions(spark, d), as_b(as_intervals(T.fibers(spark, d))), ["region_id", "name"])
 
 
 def region_semi(where: str) -> str:
@@ -633,8 +632,8 @@ def mark_lists(spark, d):
 
 def called(spark, d, options):
     rows = calls.call(mark_lists(spark, d), options)
-    one = lambda kind: rows.select("fiber_id", F.lit(kind).alias("type"), F.inline(kind))
-    return one("nuc").unionByName(one("msp"))
+    one = lambda kind: F.transform(kind, lambda x: F.struct(F.lit(kind).alias("type"), x["start"].alias("start"), x["length"].alias("length")))
+    return rows.select("fiber_id", F.inline(F.concat(one("nuc"), one("msp"))))  # one array of both: the caller runs once
 
 
 @query(None)
@@ -694,7 +693,7 @@ def complement_intervals(spark, d):
     return intervals.complement(spans(spark, d, "nuc"), contigs(spark, d))
 
 
-@query(None)
+@query(f""", {CONTIGS} SELECT * EXCLUDE (s) REPLACE (s AS start, s + "end" - start AS "end") FROM (SELECT r.*, replica::INTEGER AS replica, ('0x' || substr(md5(region_id || '|42|' || replica), 1, 15))::BIGINT % greatest(length - ("end" - start) + 1, 1) AS s FROM regions r JOIN contigs USING (chrom), (SELECT unnest([1, 2]) AS replica))""")
 def shuffle_intervals(spark, d):
     return intervals.shuffle(T.regions(spark, d), contigs(spark, d), F.col("region_id"), replicas=2)
 
@@ -736,12 +735,13 @@ def mm_rows(spark, d):
     return docs.withColumn("marks", at)
 
 
-@query(None)
-def mm_emit(spark, d):
-    return mm_rows(spark, d).select("doc_id", codec.emit_mm("marks", "seq").alias("t")).select("doc_id", "t.mm", "t.ml")
+SEQ = "(SELECT doc_id, translate(upper(regexp_replace(text, '[^a-zA-Z]', '', 'g')), 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC') AS seq FROM documents)"
 
 
-SEQ = "(SELECT doc_id, translate(upper(regexp_replace(text, '[^a-zA-Z]', '', 'g')), 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC') AS seq FROM documents)"
+@query(f"""SELECT doc_id, coalesce('A+a' || string_agg(',' || (rank - coalesce(before, 0) - 1), '' ORDER BY i) || ';', '') AS mm, coalesce(list((i % 256)::INTEGER ORDER BY i) FILTER (i IS NOT NULL), []) AS ml FROM documents d LEFT JOIN (SELECT doc_id, i, rank, lag(rank) OVER (PARTITION BY doc_id ORDER BY i) AS before
+FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rank FROM (SELECT doc_id, seq, unnest(range(0, length(seq))) AS i FROM {SEQ}) WHERE seq[i + 1] = 'A') WHERE i % 7 = 0) USING (doc_id) GROUP BY doc_id""")
+def mm_emit(spark, d):
+    return mm_rows(spark, d).select("doc_id", codec.emit_mm("marks", "seq").alias("t")).select("doc_id", "t.mm", "t.ml")
 
 
 @query(f"SELECT doc_id, i::INTEGER AS pos, (i % 256)::INTEGER AS qual FROM (SELECT doc_id, seq, unnest(range(0, length(seq), 7)) AS i FROM {SEQ}) WHERE substr(seq, (i + 1)::BIGINT, 1) = 'A'")
@@ -793,6 +793,6 @@ def pivot_type_counts(spark, d):
     return T.marks(spark, d).groupBy("fiber_id").pivot("type", ["nuc", "msp", "m6a"]).agg(F.count(F.lit(1))).fillna(0)
 
 
-@query(None)
+@query("SELECT * EXCLUDE (h, least) FROM (SELECT l.*, md5(concat_ws('|', coalesce(doc_id::VARCHAR, '-'), coalesce(quality::VARCHAR, '-'), coalesce(toxic::VARCHAR, '-'), '42')) AS h, (SELECT min(n) FROM (SELECT count(*) AS n FROM labels GROUP BY quality)) AS least FROM labels l) QUALIFY row_number() OVER (PARTITION BY quality ORDER BY h) <= least")
 def balance_labels(spark, d):
     return stats.balance(T.table(spark, d, "labels"), "quality")
