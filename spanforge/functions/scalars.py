@@ -22,7 +22,9 @@ def count_base(seq: Column, base: str) -> Column:
 
 def one_hot(seq: Column) -> Column:
     """Four arrays, of A, C, G and T, of 0 and 1 by base."""
-    return F.array(*(F.transform(F.filter(F.split(seq, ""), lambda c: c != ""), lambda c, b=b: (c == b).cast("int")) for b in "ACGT"))
+    letters = F.filter(F.split(seq, ""), lambda c: c != "")
+    marked = lambda base: F.transform(letters, lambda c: (c == base).cast("int"))
+    return F.array(*map(marked, "ACGT"))
 
 
 def percent_encode(name: Column) -> Column:

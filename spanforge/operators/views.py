@@ -53,17 +53,20 @@ def subset_sequence(seq: Column, offset: Column, dist: int, back: Column) -> Col
     return F.when(back, revcomp(piece)).otherwise(piece)
 
 
-def footprint_codes(motifs: DataFrame, annotations: DataFrame, modules: list[tuple[int, int]], tile: int = 5000) -> DataFrame:
+def footprint_codes(motifs: DataFrame, annotations: DataFrame, modules: list[tuple[int, int]], tile: int = 5000, fibers: DataFrame | None = None) -> DataFrame:
     """Per motif and spanning fiber: code, spans of msp and fire, overlap with nucleosomes.
 
+    Fibers are those of ``annotations``, unless ``fibers`` names them (those without any annotation, too).
+
     ``motifs``: chrom, start, end, strand, motif_id; the end counts as a base of the motif. Bit 0 of the code: an msp spans
     the motif; bit i + 1: module i has no m6a. On '-' the modules run from the motif's end.
     """
     if not modules or modules[0][0] != 0 or any(a[1] != b[0] for a, b in zip(modules, modules[1:])) or len(modules) > 30:
         raise ValueError("modules must start at 0, be contiguous, and be at most 30")
     m = motifs.select(F.col("chrom").alias("b_chrom"), F.col("start").alias("b_start"), (F.col("end") + 1).alias("b_end"), F.col("strand").alias("motif_strand"), "motif_id")
-    fibers = annotations.select("fiber_id", "chrom", F.col("ref_start").alias("start"), F.col("ref_end").alias("end")).distinct()
-    spanned = overlap_join(fibers, m, tile).where("b_start > start and b_end - 1 < end").select("fiber_id", "motif_id", "b_chrom", "b_start", "b_end", "motif_strand")
+    source = annotations if fibers is None else fibers
+    spans_of = source.select("fiber_id", "chrom", F.col("ref_start").alias("start"), F.col("ref_end").alias("end"))
+    spanned = overlap_join(spans_of.distinct() if fibers is None else spans_of, m, tile).where("b_start > start and b_end - 1 < end").select("fiber_id", "motif_id", "b_chrom", "b_start", "b_end", "motif_strand")
     own = annotations.where("r_start is not null").select("fiber_id", "type", "qual", "r_start", "r_end")
     rows = spanned.join(own, "fiber_id", "left")
     last = F.col("b_end") - 1
@@ -134,3 +137,26 @@ def decorators(annotations: DataFrame, color: Column, kind: str = "msp") -> Data
     join = lambda f: F.array_join(F.transform("i", f), ",")
     item = F.concat("chrom", F.lit(":"), F.col("ref_start").cast("string"), F.lit("-"), F.col("ref_end").cast("string"), F.lit(":"), F.col("fiber_id").cast("string"))
     return items.withColumn("low", low).select("chrom", F.col("low").alias("start"), high.alias("end"), F.lit(kind).alias("name"), "strand", "rgb", F.size("i").alias("block_count"), join(lambda x: x["n"].cast("string")).alias("block_sizes"), join(lambda x: (x["s"] - F.col("low")).cast("string")).alias("block_starts"), item.alias("decorated_item"))
+
+
+def extract_wide(fibers: DataFrame, annotations: DataFrame, min_fire: int = 229) -> DataFrame:
+    """The wide table without sequence: read facts, totals by type, and comma lists of nuc, msp, fire, m6a and 5mC.
+
+    ``fibers`` also has flag, ec (score is ec rounded), rg, rq and at_bp (A and T bases). FIRE elements are the patches of
+    quality ``min_fire`` or more. Lists are in query order, '.' if empty; an element that doesn't lift has -1.
+    """
+    a = annotations.withColumn("ref", F.coalesce("r_start", F.lit(-1).cast("bigint"))).withColumn("ref_length", F.coalesce(F.col("r_end") - F.col("r_start"), F.lit(-1).cast("bigint")))
+    kind = lambda k: F.col("type") == k
+    wanted = {"nuc": (kind("nuc"), "starts lengths"), "msp": (kind("msp"), "starts lengths"), "fire": (kind("msp") & (F.col("qual") >= min_fire), "starts lengths qual"), "m6a": (kind("m6a"), "points"), "5mC": (kind("cpg"), "points")}
+    lists = []
+    for name, (own, form) in wanted.items():
+        items = F.array_sort(F.collect_list(F.when(own, F.struct("q_start", "length", "qual", "ref", "ref_length"))))
+        fields = {name: "q_start", f"ref_{name}": "ref", f"{name}_qual": "qual"} if form == "points" else {f"{name}_starts": "q_start", f"{name}_lengths": "length", **({f"{name}_qual": "qual"} if "qual" in form else {}), f"ref_{name}_starts": "ref", f"ref_{name}_lengths": "ref_length"}
+        lists += [F.when(F.size(items) == 0, ".").otherwise(F.array_join(F.transform(items, text_of(field, ",")), "")).alias(column) for column, field in fields.items()]
+    total = lambda k, n, what: F.coalesce(F.sum(F.when(kind(k), what)), F.lit(0)).cast("bigint").alias(f"total_{n}_bp")
+    totals = [total("m6a", "m6a", F.lit(1)), total("nuc", "nuc", F.col("length")), total("msp", "msp", F.col("length")), total("cpg", "5mC", F.lit(1))]
+    wide = a.groupBy("fiber_id").agg(*totals, *lists)
+    facts = fibers.select(F.col("chrom").alias("ct"), F.col("ref_start").alias("st"), F.col("ref_end").alias("en"), F.col("fiber_id").alias("fiber"), F.round("ec").cast("bigint").alias("score"), "strand", F.col("flag").alias("sam_flag"), F.col("hp").alias("HP"), F.col("rg").alias("RG"), F.col("read_length").alias("fiber_length"), "ec", "rq", F.col("at_bp").alias("total_AT_bp"))
+    joined = facts.join(wide.withColumnRenamed("fiber_id", "fiber"), "fiber", "left")
+    names = [c for c in wide.columns if c != "fiber_id"]
+    return joined.fillna(0, [c for c in names if c.startswith("total_")]).fillna(".", [c for c in names if not c.startswith("total_")])

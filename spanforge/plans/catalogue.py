@@ -14,6 +14,7 @@ from spanforge.functions import codec, coords, scalars
 from spanforge.operators import calls, filters, intervals, peaks, stats, views
 from spanforge.operators.pileup import PileupOptions, pileup, rolling_max, shuffled
 from spanforge.sources import tables as T
+from spanforge.sources.written import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -275,9 +276,9 @@ WEIGHT = "round(least(100.0, log10(1.0::DOUBLE - least(qual, 253) / 255.0::DOUBL
 def pileup_sql(options: PileupOptions, where: str = "TRUE", fibers: str = "fibers", annotations: str = "annotations") -> str:
     haps = (("", "TRUE"), ("_h1", "hp = 'H1'"), ("_h2", "hp = 'H2'")) if options.haps else (("", "TRUE"),)
     names = ["coverage", "fire_coverage", "raw", "nuc", "msp", "m6a", "cpg"]
-    shown = ["coverage", "fire_coverage", *([] if options.no_nuc else ["nuc"]), *([] if options.no_msp else ["msp"]), *(["m6a"] if options.m6a else [])]
+    shown = ["coverage", "fire_coverage", *([] if options.no_nuc else ["nuc"]), *([] if options.no_msp else ["msp"]), *(["m6a"] if options.m6a else []), *(["cpg"] if options.cpg else [])]
     fire = "type = 'msp' AND qual >= 229"
-    own = f"SELECT chrom, r_start AS s, greatest(r_end, r_start + 1) AS e, hp, 0 AS coverage, ({fire})::BIGINT AS fire_coverage, CASE WHEN {fire} THEN {WEIGHT} ELSE 0 END AS raw, (type = 'nuc')::BIGINT AS nuc, (type = 'msp')::BIGINT AS msp, (type = 'm6a' AND qual >= 125)::BIGINT AS m6a, 0 AS cpg FROM {annotations} a"
+    own = f"SELECT chrom, r_start AS s, greatest(r_end, r_start + 1) AS e, hp, 0 AS coverage, ({fire})::BIGINT AS fire_coverage, CASE WHEN {fire} THEN {WEIGHT} ELSE 0 END AS raw, (type = 'nuc')::BIGINT AS nuc, (type = 'msp')::BIGINT AS msp, (type = 'm6a' AND qual >= 125)::BIGINT AS m6a, (type = 'cpg' AND qual >= 125)::BIGINT AS cpg FROM {annotations} a"
     if options.fiber_coverage:
         extent = f", extent AS (SELECT fiber_id, min(r_start) AS s, max(r_end) AS e FROM {annotations} WHERE type IN ('msp', 'nuc') GROUP BY 1)"
         spans = f"SELECT chrom, s, e, hp, 1, 0, 0, 0, 0, 0, 0 FROM {fibers} JOIN extent USING (fiber_id)"
@@ -429,8 +430,12 @@ tested AS (SELECT m.*, coalesce((SELECT max_by(f.fdr, f.threshold) FROM fdr f WH
 
 
 def raw_peaks(spark, d):
-    found = peaks.lookup_fdr(scored_islands(spark, d), peaks.fdr_table(score_histogram(spark, d)))
-    return peaks.significant(found, max_fdr=1.0, frac_filter=0.02)
+    """Written once, as are the track and the FDR table that it needs twice."""
+    real = materialize(pileup(T.fibers(spark, d), T.annotations(spark, d), ONE), "pk-track")
+    scores = peaks.histogram(real, True).unionByName(peaks.histogram(pileup(*moved(spark, d), ONE), False))
+    table = materialize(peaks.fdr_table(scores), "pk-fdr")
+    found = peaks.lookup_fdr(peaks.islands(rolling_max(real)), table)
+    return materialize(peaks.significant(found, max_fdr=1.0, frac_filter=0.02), "pk-peaks")
 
 
 def elements(spark, d):
@@ -443,14 +448,21 @@ def peaks_raw(spark, d):
     return raw_peaks(spark, d)
 
 
-@query(None)
+BOUNDED = f"WITH fires AS ({WITH} SELECT chrom, r_start, r_end FROM annotations WHERE type = 'msp' AND qual >= 229), " + RAW_PEAKS.removeprefix("WITH ") + """, peaks AS (SELECT * FROM tested WHERE fdr <= 1.0 AND fire_coverage / coverage >= 0.02),
+covers AS (SELECT p.chrom, p.pos, r_start AS s, r_end AS e, least(p."end", r_end) - greatest(p.start, r_start) AS w FROM peaks p JOIN fires a ON a.chrom = p.chrom AND p.start < r_end AND r_start < p."end"),
+sides AS (SELECT chrom, pos, 's' AS side, s AS x, w FROM covers UNION ALL SELECT chrom, pos, 'e', e, w FROM covers), summed AS (SELECT chrom, pos, side, x, sum(w) AS w FROM sides GROUP BY ALL),
+medians AS (SELECT chrom, pos, min(x) FILTER (side = 's' AND c > t // 2) AS peak_start, min(x) FILTER (side = 'e' AND c > t // 2) AS peak_end FROM (SELECT *, sum(w) OVER (PARTITION BY chrom, pos, side ORDER BY x) AS c, sum(w) OVER (PARTITION BY chrom, pos, side) AS t FROM summed) GROUP BY chrom, pos)
+SELECT chrom, start, "end", pos, score, coverage, fire_coverage, fdr, coalesce(peak_start, start) AS peak_start, coalesce(peak_end, "end") AS peak_end FROM peaks LEFT JOIN medians USING (chrom, pos)"""
+
+
+@query(BOUNDED)
 def peaks_bounded(spark, d):
     return peaks.bounds(raw_peaks(spark, d), elements(spark, d))
 
 
 @query(None)
 def peaks_merged(spark, d):
-    found = peaks.bounds(raw_peaks(spark, d), elements(spark, d))
+    found = materialize(peaks.bounds(raw_peaks(spark, d), elements(spark, d)), "pk-bounds")
     at = found.select("chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), F.col("pos").alias("p"))
     e = elements(spark, d).select(F.col("chrom").alias("b_chrom"), F.col("start").alias("b_start"), F.col("end").alias("b_end"), "element")
     own = intervals.overlap_join(at, e).groupBy("chrom", F.col("p").alias("pos")).agg(F.collect_set(F.struct(F.col("element").alias("id"), F.col("b_start").alias("start"), F.col("b_end").alias("end"))).alias("elements"))
@@ -523,10 +535,7 @@ CODES = _codes_sql()
 
 
 def codes(spark, d):
-    # fibers without annotations span motifs too
-    a = T.annotations(spark, d)
-    f = T.fibers(spark, d).join(a.select("fiber_id").distinct(), "fiber_id", "left_anti")
-    return views.footprint_codes(motif_rows(spark, d), a.unionByName(f, allowMissingColumns=True), MODULES)
+    return views.footprint_codes(motif_rows(spark, d), T.annotations(spark, d), MODULES, fibers=T.fibers(spark, d))
 
 
 @query(CODES + " SELECT * FROM codes")
@@ -636,12 +645,40 @@ def called(spark, d, options):
     return rows.select("fiber_id", F.inline(F.concat(one("nuc"), one("msp"))))  # one array of both: the caller runs once
 
 
-@query(None)
+def callers_sql(state: str, first: str, steps: str, after: str) -> str:
+    """nuc and msp of ``walk``, a state a mark: ``k`` is the next mark's place, ``found`` the nucleosomes so far."""
+    return f"""WITH RECURSIVE {T.SQL}, lists AS (SELECT fiber_id, read_length, list_sort(list_distinct(list(fwd_start))) AS m FROM marks JOIN fibers USING (fiber_id) GROUP BY ALL),
+    walk({state}, k, found, fiber_id, read_length, m) AS (SELECT {first}, 1::BIGINT, []::STRUCT(s BIGINT, n BIGINT)[], fiber_id, read_length, m FROM lists UNION ALL SELECT {after}, fiber_id, read_length, m FROM ({steps})),
+    nucs AS (SELECT fiber_id, i, found[i].s AS s, found[i].n AS n FROM (SELECT fiber_id, found, unnest(range(1, len(found) + 1)) AS i FROM walk WHERE k > len(m))),
+    reached AS (SELECT fiber_id, s, greatest(m[1], coalesce(max(s + n) OVER (PARTITION BY fiber_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS reach FROM nucs JOIN lists USING (fiber_id)),
+    tails AS (SELECT fiber_id, m[-1] + 1 AS s, greatest(m[1], coalesce((SELECT max(s + n) FROM nucs WHERE nucs.fiber_id = lists.fiber_id), 0)) AS reach FROM lists),
+    made AS (SELECT fiber_id, 'nuc' AS type, s AS start, n AS length FROM nucs UNION ALL SELECT fiber_id, 'msp', reach, s - reach FROM (FROM reached UNION ALL FROM tails) WHERE reach > 0 AND s > reach)
+    SELECT made.* FROM made JOIN lists USING (fiber_id) WHERE start >= 45 AND start + length <= read_length - 45"""
+
+
+GREEDY = callers_sql(
+    "grown, made",
+    "0::BIGINT, FALSE",
+    """SELECT *, CASE rule WHEN 0 THEN own WHEN 2 THEN own WHEN 4 THEN grown + own + ahead + 2 ELSE grown + own + 1 END AS size FROM (SELECT *, CASE WHEN inside AND grown + own + 1 >= 100 AND least(grown, own) < 75 AND least(grown, own) >= 25 AND greatest(grown, own) <= 125 THEN 1 WHEN own >= 75 THEN 2
+    WHEN inside AND grown + own + 1 >= 100 AND grown < 75 AND NOT (ahead > grown AND ahead < 75) THEN 3 WHEN inside AND ahead > 0 AND ahead < 75 AND grown < 75 AND grown + own + ahead + 2 >= 100 AND own + ahead + 1 < 100 THEN 4 ELSE 0 END AS rule
+    FROM (SELECT *, m[k] - CASE WHEN k = 1 THEN -1 ELSE m[k - 1] END - 1 AS own, coalesce(m[k + 1] - m[k] - 1, 0) AS ahead, k > 1 AND m[k - 1] > 0 AS inside FROM walk WHERE k <= len(m)))""",
+    "size, rule > 0, k + CASE WHEN rule = 4 THEN 2 ELSE 1 END, CASE WHEN rule = 0 THEN found ELSE list_append(CASE WHEN rule = 1 AND made THEN found[:len(found) - 1] ELSE found END, {'s': m[k + CASE WHEN rule = 4 THEN 1 ELSE 0 END] - size, 'n': size}) END",
+)
+DSEGMENT = callers_sql(
+    "total, best, start, stop",
+    "0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT",
+    """SELECT *, b >= 75 OR t - 1 <= 0 OR t - 1 <= b - 1 AS closed FROM (SELECT *, CASE WHEN t >= best AND gap > 0 THEN t ELSE best END AS b, CASE WHEN t >= best AND gap > 0 THEN m[k] ELSE stop END AS e FROM (SELECT * REPLACE (CASE WHEN total = 0 THEN last + 1 ELSE start END AS start), total + gap AS t
+    FROM (SELECT *, m[k] - last - 1 AS gap FROM (SELECT *, CASE WHEN k = 1 THEN -1 ELSE m[k - 1] END AS last FROM walk WHERE k <= len(m)))))""",
+    "CASE WHEN closed THEN 0 ELSE t - 1 END, CASE WHEN closed THEN 0 ELSE b END, CASE WHEN closed THEN m[k] + 1 ELSE start END, CASE WHEN closed THEN m[k] + 1 ELSE e END, k + 1, CASE WHEN b >= 75 THEN list_append(found, {'s': start, 'n': e - start}) ELSE found END",
+)
+
+
+@query(GREEDY)
 def nucleosomes_greedy(spark, d):
     return called(spark, d, calls.NucleosomeOptions())
 
 
-@query(None)
+@query(DSEGMENT)
 def nucleosomes_dsegment(spark, d):
     return called(spark, d, calls.NucleosomeOptions(skips=2))
 
@@ -796,3 +833,6 @@ def pivot_type_counts(spark, d):
 @query("SELECT * EXCLUDE (h, least) FROM (SELECT l.*, md5(concat_ws('|', coalesce(doc_id::VARCHAR, '-'), coalesce(quality::VARCHAR, '-'), coalesce(toxic::VARCHAR, '-'), '42')) AS h, (SELECT min(n) FROM (SELECT count(*) AS n FROM labels GROUP BY quality)) AS least FROM labels l) QUALIFY row_number() OVER (PARTITION BY quality ORDER BY h) <= least")
 def balance_labels(spark, d):
     return stats.balance(T.table(spark, d, "labels"), "quality")
+
+
+from spanforge.plans import more  # noqa: E402, F401  registers its queries

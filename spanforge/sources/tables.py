@@ -47,10 +47,17 @@ def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def annotations(spark: SparkSession, sf_dir: str, blocks: bool = False) -> DataFrame:
-    """``marks`` with the fiber's columns, the query frame (q_start, q_end) and the reference frame (r_start, r_end)."""
+def cpg_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks of a fourth type, from the events."""
+    e, u = F.col("event_id"), F.col("user_id")
+    return table(spark, sf_dir, "events").select((e % 997 + 1).alias("fiber_id"), F.lit("cpg").alias("type"), ((e * 37 + u * 11) % 1800).alias("fwd_start"), F.lit(1).cast("bigint").alias("length"), ((e * 5 + u) % 256).cast("int").alias("qual"))
+
+
+def annotations(spark: SparkSession, sf_dir: str, blocks: bool = False, cpg: bool = False) -> DataFrame:
+    """``marks`` (and ``cpg_marks``) with the fiber's columns, the query frame (q_start, q_end) and the reference frame (r_start, r_end)."""
     own = fibers(spark, sf_dir)
-    joined = marks(spark, sf_dir).join(with_blocks(own) if blocks else own, "fiber_id")
+    found = marks(spark, sf_dir).unionByName(cpg_marks(spark, sf_dir)) if cpg else marks(spark, sf_dir)
+    joined = found.join(with_blocks(own) if blocks else own, "fiber_id")
     q = flip(F.col("fwd_start"), F.col("fwd_start") + F.col("length"), F.col("read_length"), F.col("strand"))
     framed = joined.withColumn("q_start", q[0]).withColumn("q_end", q[1])
     if not blocks:

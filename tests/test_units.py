@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanforge.functions import codec, coords, scalars
-from spanforge.operators import calls, filters, intervals, peaks, stats
+from spanforge.operators import calls, filters, intervals, peaks, stats, tags
 from spanforge.sources import readers
 from spanforge.streaming import incremental
 
@@ -196,3 +196,88 @@ def test_acf_lags_go_to_250(spark):
         ends = sum(p < lag for p in at) + sum(p >= n - lag for p in at)
         want = (sum(p + lag in at for p in at) - m * (2 * k - ends) + m * m * (n - lag)) / (k - m * k)
         assert abs(acf - want) < 1e-8
+
+
+def test_one_hot(spark):
+    row = spark.sql("SELECT 'AGTCA' AS s").select(scalars.one_hot(F.col("s")).alias("h")).first()
+    assert row.h == [[1, 0, 0, 0, 1], [0, 0, 0, 1, 0], [0, 1, 0, 0, 0], [0, 0, 1, 0, 0]]
+
+
+def test_overlap_sums_are_a_nested_loop(spark):
+    r = random.Random(9)
+    made = lambda n: [(i, r.choice(["x", "y"]), s := r.randrange(300), s + r.randrange(0, 60)) for i in range(n)]
+    a, b = made(80), made(120)
+    left = spark.createDataFrame(a, "id int, chrom string, start bigint, end bigint")
+    right = spark.createDataFrame([x[1:] for x in b], "b_chrom string, b_start bigint, b_end bigint")
+    want = {}
+    for i, c, s, e in a:
+        both = [min(e, f) - max(s, t) for _, d, t, f in b if c == d and t < f and s < e and t < e and s < f]
+        if both:
+            want[i] = (len(both), sum(both))
+    for tile in (7, 64, 5000):
+        assert {x.id: (x.n, x.bp) for x in intervals.overlap_sums(left, right, ["id"], tile).collect()} == want
+    assert intervals.overlap_sums(left, right.limit(0), ["id"]).count() == 0
+
+
+def test_fdr_table_by_rows(spark):
+    """Against the rows one by one: cumulative from above, then the last of rows alike, four times."""
+    r = random.Random(12)
+    scores = [(round(r.random() * 9, r.choice([1, 2, 6])), r.randrange(1, 40), r.random() < 0.6) for _ in range(500)]
+    by = {}
+    for s, bp, real in scores:
+        v, k = by.get(s, (0, 0))
+        by[s] = (v + (0 if real else bp), k + (bp if real else 0))
+    rows, v, k = [], 0, 0
+    for s in sorted(by, reverse=True):
+        v, k = v + by[s][0], k + by[s][1]
+        if s > min(by) and k:
+            rows.append((s, min(1.0, v / k), float(v), float(k)))
+    rows.append((-1.0, 1.0, 1.0, 1.0))
+    for key, alike in ((1, lambda x: int(x[1] * 1e6)), (2, lambda x: int(x[2])), (3, lambda x: int(x[3])), (0, lambda x: int(x[0] * 100))):
+        rows = [(round(x[0], 2), *x[1:]) if key == 0 else x for x in rows]
+        rows = sorted(rows, key=lambda x: x[key])
+        rows = list({alike(x): x for x in rows}.values())
+    got = peaks.fdr_table(spark.createDataFrame(scores, "score double, bp bigint, is_real boolean")).collect()
+    assert sorted((x.threshold, x.fdr, x.shuffled_bp, x.real_bp) for x in got) == sorted(rows)
+
+
+def test_mock_windows_cut_no_item(spark):
+    items = spark.createDataFrame([("a", 5, 40), ("a", 95, 130), ("a", 300, 310), ("b", 1, 2)], "chrom string, start bigint, end bigint")
+    contigs = spark.createDataFrame([("a", 1000), ("b", 50), ("c", 70)], "chrom string, length bigint")
+    got = sorted(tuple(x) for x in tags.mock_windows(items, contigs, 100).collect())
+    assert got == [("a", 0, 130), ("a", 300, 400), ("b", 0, 50), ("c", 0, 70)]
+
+
+def test_peaks_of_planted_sites(spark):
+    """Tracks with fires stacked at sites pass the FDR limit of 0.05 there alone, and near sites merge."""
+    from spanforge.operators.pileup import PileupOptions, pileup, rolling_max
+
+    r = random.Random(3)
+    sites, fibers, marks, moved = [2000, 5000, 5060, 8000], [], [], []
+    for i in range(60):
+        fibers.append((i, "c", 0, 10000, "UNK"))
+        for s in sites:
+            if r.random() < 0.8:
+                a = s + r.randrange(-10, 10)
+                marks.append((i, "c", "msp", 250, a, a + 80, "UNK"))
+        for _ in range(4):
+            a = r.randrange(9900)
+            moved.append((i, "c", "msp", 250, a, a + 80, "UNK"))
+    f = spark.createDataFrame(fibers, "fiber_id bigint, chrom string, ref_start bigint, ref_end bigint, hp string")
+    kind = "fiber_id bigint, chrom string, type string, qual int, r_start bigint, r_end bigint, hp string"
+    options = PileupOptions(no_nuc=True, no_msp=True)
+    real, fake = (pileup(f, spark.createDataFrame(m, kind), options) for m in (marks, moved))
+    table = peaks.fdr_table(peaks.histogram(real, True).unionByName(peaks.histogram(fake, False)))
+    found = peaks.significant(peaks.lookup_fdr(peaks.islands(rolling_max(real)), table))
+    e = spark.createDataFrame(marks, kind).select("chrom", F.col("r_start").alias("start"), F.col("r_end").alias("end"), "fiber_id").withColumn("element", F.xxhash64("fiber_id", "start"))
+    bounded = peaks.bounds(found, e)
+    rows = bounded.collect()
+    assert rows and all(x.fdr <= 0.05 and any(s - 20 <= x.pos <= s + 100 for s in sites) for x in rows)
+    assert all(any(abs(x.pos - s - 40) < 40 for x in rows) for s in (2000, 8000))
+    at = bounded.select("chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), F.col("pos").alias("p"))
+    own = intervals.overlap_join(at, e.select(F.col("chrom").alias("b_chrom"), F.col("start").alias("b_start"), F.col("end").alias("b_end"), "element"))
+    own = own.groupBy("chrom", F.col("p").alias("pos")).agg(F.collect_set(F.struct(F.col("element").alias("id"), F.col("b_start").alias("start"), F.col("b_end").alias("end"))).alias("elements"))
+    full = bounded.join(own, ["chrom", "pos"]).select("chrom", F.col("peak_start").alias("start"), F.col("peak_end").alias("end"), "pos", "score", "fdr", "elements")
+    merged = peaks.merge_peaks(full).collect()
+    assert 3 <= len(merged) < len(rows) or len(rows) == 3
+    assert {min(sites, key=lambda s: abs(x.pos - s - 40)) for x in merged} >= {2000, 8000}
