@@ -2,46 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A relation may be broadcast only after its size was measured to be under this.
-BROADCAST_BYTES = 16 << 20
+from spanforge.sources.written import discard, materialize, shared_dir
 
+__all__ = ["discard", "held_out", "materialize", "packed", "shared_dir", "sized", "slices", "unpacked", "utf8_column", "without_rows"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or an own one where it is unset and Spark runs on one machine."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spanforge-"))
-    return sc.getCheckpointDir()
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def discard(*written: DataFrame) -> None:
-    """Delete what ``materialize`` wrote for these frames; nothing that is still to run may read them."""
-    for df in written:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+#: A relation may be broadcast only after its size was measured to be under this.
+BROADCAST_BYTES = 16 << 20
 
 
 def sized(df: DataFrame, row_bytes: int) -> DataFrame:
