@@ -214,13 +214,15 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
     group = components(found.select(F.col("class").alias("u"), F.col("root").alias("v")))
     facts = classes.select("class", "size").join(links, "class", "left").join(group.select(F.col("id").alias("class"), F.col("root").alias("group")), "class", "left")
     facts = facts.select("class", F.coalesce("group", F.when(F.col("size") > 1, F.col("class"))).alias("group"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    # classes of one row without links need no facts; without them the table mostly fits a broadcast, so no class is dealt to one task
+    facts = sized(materialize(facts.where("group is not null"), "nj-facts"), 32)
     return rowed.select("row", "doc_id", "class").join(facts, "class", "left").select("row", "doc_id", "class", "group", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def classes_of(docs: DataFrame, **options) -> DataFrame:
     """doc_id, class_id (the least doc_id of the row's group; its own if it stands alone) and n_links of every row."""
     rows = materialize(near_duplicates(docs, **options), "nj-rows")
-    least = rows.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("class_id"))
+    least = sized(materialize(rows.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("class_id")), "nj-least"), 24)
     return rows.join(least, "group", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links")
 
 
