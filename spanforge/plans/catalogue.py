@@ -188,38 +188,18 @@ def join_region_overlap(spark, d):
     return intervals.overlap_sums(T.regions(spark, d), as_b(as_intervals(T.fibers(spark, d))), ["region_id", "name"])
 
 
-def region_semi(where: str) -> str:
-    return f'SELECT f.fiber_id FROM fibers f WHERE {where} EXISTS (SELECT 1 FROM regions r WHERE r.region_id % 97 = 0 AND {OVERLAP})'
-
-
-@query(region_semi(""))
-def join_region_semi(spark, d):
-    return intervals.overlap_semi(as_intervals(T.fibers(spark, d)), as_b(T.regions(spark, d).where("region_id % 97 = 0")), ["fiber_id"]).select("fiber_id")
-
-
-@query(region_semi("NOT"))
-def join_region_anti(spark, d):
-    return intervals.overlap_semi(as_intervals(T.fibers(spark, d)), as_b(T.regions(spark, d).where("region_id % 97 = 0")), ["fiber_id"], anti=True).select("fiber_id")
-
-
-@query('SELECT a.region_id FROM regions a WHERE EXISTS (SELECT 1 FROM regions b WHERE b.region_id <> a.region_id AND a.region_id % 2 = 0 AND b.region_id % 2 = 1 AND a.chrom = b.chrom AND least(a."end", b."end") - greatest(a.start, b.start) >= 0.25 * (a."end" - a.start))')
-def join_frac_overlap(spark, d):
-    r = T.regions(spark, d)
-    return intervals.overlap_semi(r.where("region_id % 2 = 0"), as_b(r.where("region_id % 2 = 1")), ["region_id"], fraction=0.25).select("region_id")
-
-
 @query(f"SELECT f.fiber_id FROM fibers f WHERE EXISTS (SELECT 1 FROM regions r WHERE {OVERLAP})")
-def join_region_semi_all(spark, d):
+def join_region_semi(spark, d):
     return intervals.overlap_semi(as_intervals(T.fibers(spark, d)), as_b(T.regions(spark, d)), ["fiber_id"]).select("fiber_id")
 
 
 @query(f"SELECT f.fiber_id FROM fibers f WHERE NOT EXISTS (SELECT 1 FROM regions r WHERE {OVERLAP})")
-def join_region_anti_all(spark, d):
+def join_region_anti(spark, d):
     return intervals.overlap_semi(as_intervals(T.fibers(spark, d)), as_b(T.regions(spark, d)), ["fiber_id"], anti=True).select("fiber_id")
 
 
 @query('SELECT a.region_id FROM regions a WHERE EXISTS (SELECT 1 FROM regions b WHERE b.region_id <> a.region_id AND a.chrom = b.chrom AND least(a."end", b."end") - greatest(a.start, b.start) >= 0.25 * (a."end" - a.start))')
-def join_frac_overlap_all(spark, d):
+def join_frac_overlap(spark, d):
     r = T.regions(spark, d)
     pairs = intervals.overlap_join(r, as_b(r, F.col("region_id").alias("b_id")))
     enough = (F.least("end", "b_end") - F.greatest("start", "b_start")) >= F.lit(0.25) * (F.col("end") - F.col("start"))
@@ -227,7 +207,7 @@ def join_frac_overlap_all(spark, d):
 
 
 @query("SELECT fiber_id, chrom, (fiber_id * 31) % 20000 AS ref_start, (fiber_id * 31) % 20000 + read_length AS ref_end FROM fibers")
-def join_shuffle_equi_all(spark, d):
+def join_shuffle_equi(spark, d):
     f = T.fibers(spark, d)
     return shuffled(f, f.select("chrom", "fiber_id", "ref_start", ((F.col("fiber_id") * 31) % 20000).alias("new_start"))).select("fiber_id", "chrom", "ref_start", "ref_end")
 
@@ -250,13 +230,6 @@ def join_motif_span(spark, d):
     return pairs.where("b_start > start and b_end < end").select("motif_id", "fiber_id")
 
 
-@query("SELECT fiber_id, chrom, (fiber_id * 31) % 20000 AS ref_start, (fiber_id * 31) % 20000 + read_length AS ref_end FROM fibers WHERE fiber_id % 3 <> 0")
-def join_shuffle_equi(spark, d):
-    f = T.fibers(spark, d)
-    places = f.where("fiber_id % 3 <> 0").select("chrom", "fiber_id", "ref_start", ((F.col("fiber_id") * 31) % 20000).alias("new_start"))
-    return shuffled(f, places).select("fiber_id", "chrom", "ref_start", "ref_end")
-
-
 @query("SELECT chrom, CASE WHEN chrom IN ('chr1', 'chr2') THEN 1 WHEN chrom IN ('chr3') THEN 2 END AS hap, count(*) AS n FROM fibers GROUP BY ALL")
 def join_contig_hap(spark, d):
     haps = spark.createDataFrame([("chr1", 1), ("chr2", 1), ("chr3", 2)], "chrom string, hap int")
@@ -499,17 +472,11 @@ def qc_ratios(spark, d):
 
 @query("""\
 , offsets AS (SELECT fiber_id, sum(read_length) OVER (ORDER BY fiber_id) - read_length AS o FROM fibers), hits AS (SELECT DISTINCT o + fwd_start AS p FROM marks JOIN offsets USING (fiber_id) WHERE type = 'm6a'),
-size AS (SELECT sum(read_length) AS n, (SELECT count(*) FROM hits) AS k FROM fibers), lags AS (SELECT unnest(range(0, 51)) AS lag),
-near AS (SELECT b.p - a.p AS lag, count(*) AS xx FROM hits a JOIN hits b ON b.p >= a.p AND b.p <= a.p + 50 AND (a.p // 51 = b.p // 51 OR a.p // 51 + 1 = b.p // 51) GROUP BY 1),
+size AS (SELECT sum(read_length) AS n, (SELECT count(*) FROM hits) AS k FROM fibers), lags AS (SELECT unnest(range(0, 251)) AS lag),
+near AS (SELECT b.p - a.p AS lag, count(*) AS xx FROM hits a JOIN hits b ON b.p >= a.p AND b.p <= a.p + 250 GROUP BY 1),
 edges AS (SELECT lag, count(*) FILTER (p < lag) AS first, count(*) FILTER (p >= n - lag) AS last FROM lags, size, hits GROUP BY lag)
 SELECT lag, round((coalesce(xx, 0) - m * (2 * k - first - last) + m * m * (n - lag)) / (k - m * k), 9) AS acf FROM (SELECT *, k::DOUBLE / n AS m FROM size) s, edges LEFT JOIN near USING (lag)""")
 def acf_lags(spark, d):
-    marks = T.marks(spark, d).where("type = 'm6a'").join(T.fibers(spark, d).select("fiber_id"), "fiber_id", "left_semi").select("fiber_id", F.col("fwd_start").alias("pos")).distinct()
-    return stats.autocorrelation(marks, T.fibers(spark, d), 50)
-
-
-@query(None)
-def acf_lags_all(spark, d):
     marks = T.marks(spark, d).where("type = 'm6a'").join(T.fibers(spark, d).select("fiber_id"), "fiber_id", "left_semi").select("fiber_id", F.col("fwd_start").alias("pos")).distinct()
     return stats.autocorrelation(marks, T.fibers(spark, d), 250)
 
@@ -696,11 +663,11 @@ def fire_features(spark, d):
 
 # Interval algebra
 
-SPANS = "spans AS (SELECT chrom, r_start AS s, r_end AS e FROM annotations WHERE type = '{}' AND qual >= 128)"
+SPANS = "spans AS (SELECT chrom, r_start AS s, r_end AS e FROM annotations WHERE type = '{}')"
 
 
 def spans(spark, d, kind):
-    return T.annotations(spark, d).where((F.col("type") == kind) & (F.col("qual") >= 128)).select("chrom", F.col("r_start").alias("start"), F.col("r_end").alias("end"))
+    return T.annotations(spark, d).where(F.col("type") == kind).select("chrom", F.col("r_start").alias("start"), F.col("r_end").alias("end"))
 
 
 def merged_sql(source: str, distance: int) -> str:
@@ -717,7 +684,7 @@ def merge_intervals_distance(spark, d):
     return intervals.merge(spans(spark, d, "nuc"), 147)
 
 
-BASES = "bases AS (SELECT DISTINCT chrom, unnest(range(r_start, r_end)) AS p, type FROM annotations WHERE qual >= 128 AND type <> 'm6a'), left_over AS (SELECT chrom, p FROM bases WHERE type = 'nuc' EXCEPT SELECT chrom, p FROM bases WHERE type = 'msp')"
+BASES = "bases AS (SELECT DISTINCT chrom, unnest(range(r_start, r_end)) AS p, type FROM annotations WHERE type <> 'm6a'), left_over AS (SELECT chrom, p FROM bases WHERE type = 'nuc' EXCEPT SELECT chrom, p FROM bases WHERE type = 'msp')"
 
 
 @query(f", {BASES} SELECT chrom, min(p) AS start, max(p) + 1 AS \"end\" FROM (SELECT *, p - row_number() OVER (PARTITION BY chrom ORDER BY p) AS i FROM left_over) GROUP BY chrom, i")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spanforge.functions import codec, scalars
 from spanforge.operators import intervals, tags, views
 from spanforge.operators.pileup import PileupOptions, pileup
-from spanforge.plans.catalogue import ANNOTATION, CONTIGS, ONE, WITH, as_b, as_intervals, bed12_sql, codes, contigs, moved, pileup_sql, query
+from spanforge.plans.catalogue import ANNOTATION, CONTIGS, MOTIFS, ONE, WITH, as_b, as_intervals, bed12_sql, codes, contigs, motif_rows, moved, pileup_sql, query
 from spanforge.plans.catalogue import CODES as CODES_SQL
 from spanforge.sources import tables as T
 
@@ -154,6 +154,16 @@ def annotation_totals(spark, d):
     return T.marks(spark, d).groupBy("fiber_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("names"))
 
 
+@query(f', {MOTIFS} SELECT region_id FROM regions r WHERE EXISTS (SELECT 1 FROM motifs m WHERE m.chrom = r.chrom AND m.start < r."end" AND r.start < m."end")')
+def region_motif_semi(spark, d):
+    return intervals.overlap_semi(T.regions(spark, d), as_b(motif_rows(spark, d)), ["region_id"]).select("region_id")
+
+
+@query(f', {MOTIFS} SELECT region_id FROM regions r WHERE NOT EXISTS (SELECT 1 FROM motifs m WHERE m.chrom = r.chrom AND m.start < r."end" AND r.start < m."end")')
+def region_motif_anti(spark, d):
+    return intervals.overlap_semi(T.regions(spark, d), as_b(motif_rows(spark, d)), ["region_id"], anti=True).select("region_id")
+
+
 @query("SELECT region_id FROM regions WHERE chrom IN ('chr1', 'chr3') AND NOT regexp_matches(name, '#[13]')")
 def regions_whitelisted(spark, d):
     kept = spark.createDataFrame([("chr1",), ("chr3",)], "chrom string")
