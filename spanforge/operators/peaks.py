@@ -146,3 +146,33 @@ def merge_peaks(peaks: DataFrame, reciprocal: float = 0.75, high: float = 0.9, s
         return pd.DataFrame([{k: r[k] for k in ("chrom", "start", "end", "pos", "score", "fdr")} for r in rows], columns=["chrom", "start", "end", "pos", "score", "fdr"])
 
     return peaks.groupBy("chrom").applyInPandas(run, "chrom string, start bigint, end bigint, pos bigint, score double, fdr double")
+
+
+TRACKS = ("coverage", "fire_coverage", "score", "nuc", "msp")
+
+
+def peak_table(peaks: DataFrame, runs: DataFrame, limits: DataFrame) -> DataFrame:
+    """The 21 columns of a peak: place, FDR, five tracks at its maximum of all fibers and of either haplotype, pass_coverage.
+
+    ``peaks``: chrom, start, end, pos, fdr; ``runs``: a pileup with nucleosomes and patches, tracks of a haplotype ending
+    in _h1 and _h2 (0, 0, -1, 0, 0 where it has none); ``limits``: chrom, least, most of an accepted coverage. A peak
+    outside all runs has no coverage, and a chromosome without limits passes none.
+    """
+    from spanforge.operators.intervals import overlap_join
+
+    at = peaks.select("chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end")).distinct()
+    known = [f"{t}{h}" for h in ("", "_h1", "_h2") for t in TRACKS if f"{t}{h}" in runs.columns]
+    there = overlap_join(at, runs.select(F.col("chrom").alias("b_chrom"), F.col("start").alias("b_start"), F.col("end").alias("b_end"), *known))
+    there = there.select(F.col("chrom").alias("c"), F.col("start").alias("p"), *known)
+    rows = peaks.select("chrom", "start", "end", "pos", "fdr").join(there, (F.col("chrom") == F.col("c")) & (F.col("pos") == F.col("p")), "left")
+    rows = rows.join(limits.select(F.col("chrom").alias("l"), "least", "most"), F.col("chrom") == F.col("l"), "left")
+    value = lambda t, h: F.coalesce(F.col(f"{t}{h}") if f"{t}{h}" in known else F.lit(None), F.lit(-1.0 if t == "score" else 0))
+    tracks = [value(t, h).alias(f"{t}{'_coverage' if t in ('nuc', 'msp') else ''}{h.upper()}") for h in ("", "_h1", "_h2") for t in TRACKS]
+    passes = F.coalesce(F.col("coverage").between(F.col("least"), F.col("most")), F.lit(False))
+    return rows.select("chrom", F.col("start").alias("peak_start"), F.col("end").alias("peak_end"), F.col("pos").alias("peak_max"), F.col("fdr").alias("FDR"), *tracks, passes.alias("pass_coverage"))
+
+
+def as_text(table: DataFrame) -> DataFrame:
+    """A ``peak_table`` as its file has it: FDR with 10 decimals, scores with 5, true or false."""
+    digits = {"FDR": "%.10f", "score": "%.5f", "score_H1": "%.5f", "score_H2": "%.5f"}
+    return table.select(*(F.format_string(digits[c], c).alias(c) if c in digits else F.col(c).cast("string").alias(c) for c in table.columns))

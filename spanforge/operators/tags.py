@@ -68,7 +68,7 @@ def calls_from_scores(scores: DataFrame, table: DataFrame, least: int) -> DataFr
 def mock_windows(items: DataFrame, contigs: DataFrame, size: int) -> DataFrame:
     """chrom, start, end of windows of about ``size`` that cut no item (chrom, start, end): for contigs as mock reads.
 
-    A contig no longer than ``size`` is one window. Else windows begin at 0 and then at the first item that starts at or
+    A contig no longer than ``size`` is one window, a longer one without items gives none. Else windows begin at 0 and then at the first item that starts at or
     behind the open window's end; an item that reaches farther extends the window. Each contig's items are walked in
     order, in Arrow batches of whole contigs.
     """
@@ -85,8 +85,64 @@ def mock_windows(items: DataFrame, contigs: DataFrame, size: int) -> DataFrame:
                 spans.append((low, high))
                 low, high = int(s), int(s) + size
             high = max(high, int(e))
-        spans.append((low, min(high, length)))
+        if size >= length or rows["start"].notna().any():
+            spans.append((low, min(high, length)))
         return pd.DataFrame([(rows["chrom"].iloc[0], a, b) for a, b in spans], columns=["chrom", "start", "end"])
 
     rows = contigs.select("chrom", F.col("length").alias("contig_length")).join(items.select("chrom", "start", "end"), "chrom", "left")
     return rows.groupBy("chrom").applyInPandas(walk, "chrom string, start bigint, end bigint")
+
+
+def plain_windows(contigs: DataFrame, size: int) -> DataFrame:
+    """chrom, start, end of windows of ``size``, the last one shorter: for contigs without items."""
+    starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(size).cast("bigint")))
+    rows = contigs.where("length > 0").select("chrom", "length", starts.alias("start"))
+    return rows.select("chrom", "start", F.least(F.col("start") + size, "length").alias("end"))
+
+
+#: Fixed value of the alignment format: the flag of a read's further parts.
+SUPPLEMENTARY = 2048
+
+
+def mock_reads(windows: DataFrame, sequences: DataFrame) -> DataFrame:
+    """chrom, ref_start, ref_end, flag, cigar and seq of a read for each window (chrom, start, end) of ``sequences`` (chrom, seq).
+
+    All matches; windows behind a contig's first are supplementary. Windows of contigs without a sequence go.
+    """
+    first = windows.groupBy(F.col("chrom").alias("c")).agg(F.min("start").alias("least"))
+    rows = windows.select("chrom", "start", "end").join(first, F.col("chrom") == F.col("c")).join(sequences.select(F.col("chrom").alias("s"), "seq"), F.col("chrom") == F.col("s"))
+    n = F.col("end") - F.col("start")
+    return rows.select("chrom", F.col("start").alias("ref_start"), F.col("end").alias("ref_end"), F.when(F.col("start") > F.col("least"), SUPPLEMENTARY).otherwise(0).alias("flag"), F.concat(n.cast("string"), F.lit("=")).alias("cigar"), F.substring("seq", F.col("start") + 1, n).alias("seq"))
+
+
+def on_mock_reads(reads: DataFrame, items: DataFrame) -> DataFrame:
+    """``items`` (chrom, start, end, ...) with the read (ref_start) each lies in and its ``fwd_start`` and ``length`` there."""
+    from spanforge.operators.intervals import overlap_join
+
+    spans = reads.select(F.col("chrom").alias("b_chrom"), F.col("ref_start").alias("b_start"), F.col("ref_end").alias("b_end"))
+    pairs = overlap_join(items, spans).where("b_start <= start and end <= b_end")
+    return pairs.select(*items.columns, F.col("b_start").alias("ref_start"), (F.col("start") - F.col("b_start")).alias("fwd_start"), (F.col("end") - F.col("start")).alias("length"))
+
+
+def bed_of_mock_reads(marks: DataFrame) -> DataFrame:
+    """chrom, start, end and the BED columns behind them, from marks of mock reads (chrom, ref_start, fwd_start, length, name).
+
+    A name holds those columns, joined by semicolons, with commas and percent signs percent-coded.
+    """
+    from spanforge.functions.scalars import percent_decode
+
+    start = F.col("ref_start") + F.col("fwd_start")
+    return marks.select("chrom", start.alias("start"), (start + F.col("length")).alias("end"), F.transform(F.split("name", ";"), percent_decode).alias("columns"))
+
+
+def with_provenance(headers: DataFrame, program: str, version: str, command: str) -> DataFrame:
+    """Header records (type, line) and one of the program that ran: its id new among them, behind the last of a chain."""
+    field = lambda tag: F.regexp_extract("line", rf"(?:^|\t){tag}:([^\t]*)", 1)
+    known = headers.where("type = 'PG'").select(field("ID").alias("id"), field("PP").alias("pp"))
+    ends = known.join(known.select(F.col("pp").alias("before")), F.col("id") == F.col("before"), "left_anti")
+    # a record a program that ran: some tens in any header
+    number = known.where(F.col("id").rlike(f"^{program}(\\.[0-9]+)?$")).agg(F.count("*").alias("n"))
+    last = ends.agg(F.max("id").alias("last"))
+    name = F.when(F.col("n") == 0, F.lit(program)).otherwise(F.concat(F.lit(f"{program}."), F.col("n").cast("string")))
+    parts = F.concat_ws("\t", F.concat(F.lit("ID:"), name), F.lit(f"PN:{program}"), F.lit(f"VN:{version}"), F.concat(F.lit("PP:"), F.col("last")), F.lit(f"CL:{command}"))
+    return headers.select("type", "line").unionByName(number.crossJoin(F.broadcast(last)).select(F.lit("PG").alias("type"), parts.alias("line")))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanforge.functions import codec, scalars
-from spanforge.operators import intervals, tags, views
+from spanforge.operators import intervals, kinetics, peaks, tags, views
 from spanforge.operators.pileup import PileupOptions, pileup
-from spanforge.plans.catalogue import ANNOTATION, CONTIGS, MOTIFS, ONE, WITH, as_b, as_intervals, bed12_sql, codes, contigs, motif_rows, moved, pileup_sql, query
+from spanforge.plans.catalogue import ANNOTATION, CONTIGS, MOTIFS, ONE, QUERIES, SEQ, WITH, as_b, as_intervals, bed12_sql, codes, contigs, motif_rows, mm_rows, moved, pileup_sql, query
 from spanforge.plans.catalogue import CODES as CODES_SQL
 from spanforge.sources import tables as T
+from spanforge.sources.written import materialize
 
 CPG = """, cpg AS (SELECT event_id % 997 + 1 AS fiber_id, 'cpg' AS type, (event_id * 37 + user_id * 11) % 1800 AS fwd_start, 1::BIGINT AS length, ((event_id * 5 + user_id) % 256)::INTEGER AS qual FROM events),
 four AS (SELECT * FROM annotations UNION ALL BY NAME SELECT *, ref_start + q_start AS r_start, ref_start + q_end AS r_end FROM (SELECT m.*, f.chrom, f.ref_start, f.ref_end, f.read_length, f.strand, f.hp, CASE WHEN strand = '-' THEN read_length - fwd_start - length ELSE fwd_start END AS q_start, CASE WHEN strand = '-' THEN read_length - fwd_start ELSE fwd_start + length END AS q_end FROM cpg m JOIN fibers f USING (fiber_id)))"""
@@ -107,16 +108,27 @@ RANGE = f"""WITH real AS ({WITH + pileup_sql(ONE)}), k AS (SELECT chrom, coverag
 limits AS (SELECT chrom, greatest(4, round(m - 5 * s)) AS least, round(m + 5 * s) AS most FROM (SELECT chrom, (min(coverage) FILTER (cum * 2 >= total) + min(coverage) FILTER (cum * 2 > total)) / 2.0::DOUBLE AS m, sqrt(greatest(0, sum(w * coverage * coverage) / sum(w)::DOUBLE - (sum(w * coverage) / sum(w)::DOUBLE) ** 2)) AS s FROM c GROUP BY chrom))"""
 
 
-@query(RANGE + " SELECT real.chrom, start, \"end\", coverage, score FROM real JOIN limits ON real.chrom = limits.chrom WHERE coverage >= least AND coverage <= most")
-def coverage_range(spark, d):
-    """Runs whose coverage is within five standard deviations of the chromosome's median, 4 at least."""
-    runs = pileup(T.fibers(spark, d), T.annotations(spark, d), ONE)
+def coverage_limits(runs):
+    """chrom, least, most: five standard deviations of the coverage about its median, 4 at least."""
     w, c = F.col("end") - F.col("start"), F.col("coverage")
     spread = runs.groupBy("chrom").agg(F.sum(w).alias("w"), F.sum(w * c).alias("wc"), F.sum(w * c * c).alias("wcc"))
     spread = spread.select("chrom", F.sqrt(F.greatest(F.lit(0.0), F.col("wcc") / F.col("w") - F.pow(F.col("wc") / F.col("w"), 2))).alias("sd"))
     limits = intervals.weighted_median(runs.withColumn("w", w), "coverage", "w", ["chrom"]).join(spread, "chrom")
-    least, most = F.greatest(F.lit(4.0), F.round(F.col("median") - F.lit(5) * F.col("sd"))), F.round(F.col("median") + F.lit(5) * F.col("sd"))
-    return runs.join(limits, "chrom").where((c >= least) & (c <= most)).select("chrom", "start", "end", "coverage", "score")
+    return limits.select("chrom", F.greatest(F.lit(4.0), F.round(F.col("median") - F.lit(5) * F.col("sd"))).alias("least"), F.round(F.col("median") + F.lit(5) * F.col("sd")).alias("most"))
+
+
+@query(RANGE + " SELECT real.chrom, start, \"end\", coverage, score FROM real JOIN limits ON real.chrom = limits.chrom WHERE coverage >= least AND coverage <= most")
+def coverage_range(spark, d):
+    """Runs whose coverage is within the chromosome's limits."""
+    runs = pileup(T.fibers(spark, d), T.annotations(spark, d), ONE)
+    return runs.join(coverage_limits(runs), "chrom").where("coverage >= least and coverage <= most").select("chrom", "start", "end", "coverage", "score")
+
+
+@query(None)
+def peaks_table(spark, d):
+    """All columns of the merged peaks; the track with haplotypes is written once."""
+    runs = materialize(pileup(T.fibers(spark, d), T.annotations(spark, d), PileupOptions(haps=True, min_fire_coverage=ONE.min_fire_coverage)), "pk-haps")
+    return peaks.as_text(peaks.peak_table(QUERIES["peaks_merged"](spark, d), runs, coverage_limits(runs)))
 
 
 # Rows by rows
@@ -278,3 +290,45 @@ def ddda_to_m6a(spark, d):
 def region_nucleosomes(spark, d):
     nucs = T.annotations(spark, d).where("type = 'nuc'").select("chrom", F.col("r_start").alias("start"), F.col("r_end").alias("end"), "fiber_id").distinct()
     return intervals.overlap_sums(T.regions(spark, d), as_b(nucs), ["region_id"]).select("region_id", "n")
+
+
+# Contigs as mock reads
+
+CONTIG_SEQ = "substr(repeat('ACGTTGCAAC', 4000), 1 + length(chrom)::INTEGER, length::INTEGER)"
+MOCK = f", {CONTIGS}, windows AS (SELECT chrom, s AS ref_start, least(s + 3000, length) AS ref_end, length FROM (SELECT *, unnest(range(0, length, 3000)) AS s FROM contigs))"
+
+
+def plain_reads(spark, d):
+    known = contigs(spark, d)
+    sequences = known.select("chrom", F.expr("substr(repeat('ACGTTGCAAC', 4000), 1 + char_length(chrom), int(length))").alias("seq"))
+    return tags.mock_reads(tags.plain_windows(known, 3000), sequences)
+
+
+@query(f"{MOCK} SELECT chrom, ref_start, ref_end, CASE WHEN ref_start > 0 THEN 2048 ELSE 0 END AS flag, (ref_end - ref_start) || '=' AS cigar, substr({CONTIG_SEQ}, (ref_start + 1)::INTEGER, (ref_end - ref_start)::INTEGER) AS seq FROM windows")
+def mock_reads(spark, d):
+    return plain_reads(spark, d)
+
+
+@query(f"{MOCK} SELECT region_id, ref_start, start - ref_start AS fwd_start, \"end\" - start AS length FROM regions r JOIN windows w ON r.chrom = w.chrom AND ref_start <= start AND \"end\" <= ref_end")
+def mock_read_items(spark, d):
+    return tags.on_mock_reads(plain_reads(spark, d), T.regions(spark, d)).select("region_id", "ref_start", "fwd_start", "length")
+
+
+# Calls from kinetics
+
+
+def _ip_sum(at: str, step: int) -> str:
+    return " + ".join(f"(({at} + {k}) * {step} + doc_id) % 256" for k in range(-7, 8))
+
+
+@query(f"""SELECT doc_id AS fiber_id, code, i::INTEGER AS pos, ml::INTEGER AS ml FROM (SELECT doc_id, i, code, CASE WHEN x <= 512 THEN 0 WHEN x <= 1536 THEN 100 WHEN x <= 2560 THEN 200 WHEN x <= 3584 THEN 250 ELSE 255 END AS ml FROM (
+SELECT doc_id, i, CASE base WHEN 'T' THEN 'T-a' ELSE 'A+a' END AS code, CASE base WHEN 'T' THEN {_ip_sum('i', 7)} ELSE {_ip_sum('(n - 1 - i)', 11)} END AS x
+FROM (SELECT doc_id, n, i, substr(seq, (i + 1)::BIGINT, 1) AS base FROM (SELECT doc_id, seq, length(seq) AS n, unnest(range(7, length(seq) - 7)) AS i FROM {SEQ})) WHERE base IN ('A', 'T'))) WHERE ml >= 230""")
+def predict_m6a(spark, d):
+    """Kinetics by formula; the mean pulse distance of a window stands for a network's score."""
+    rows = mm_rows(spark, d).where("seq <> ''").select(F.col("doc_id").alias("fiber_id"), F.lit(0).alias("flag"), "seq")
+    at = F.sequence(F.lit(0).cast("bigint"), F.char_length("seq").cast("bigint") - 1)
+    made = lambda step: F.transform(at, lambda i: ((i * step + F.col("fiber_id")) % 256).cast("smallint"))
+    reads = rows.select("*", *(made(step).alias(n) for n, step in (("fi", 7), ("fp", 3), ("ri", 11), ("rp", 5))))
+    table = [(0.0, 0), (0.25, 100), (0.5, 200), (0.75, 250), (1.0, 255)]
+    return kinetics.predict(reads, lambda w: (w[:, 4].sum(axis=1) * 255).round() / 4096, table, 230)

@@ -96,3 +96,27 @@ def write_bed(df: DataFrame, path: str, compress: bool = False) -> None:
     """Tab-separated text with a '#' header line a file."""
     names = list(df.columns)
     df.select(F.col(names[0]).alias(f"#{names[0]}"), *names[1:]).write.option("sep", "\t").option("header", True).option("compression", "gzip" if compress else "none").csv(path)
+
+
+def shuffled_fibers(spark: SparkSession, path: str) -> DataFrame:
+    """chrom, fiber_id, ref_start, new_start from lines of chrom, new start, new end, name, original start; '#' lines are skipped.
+
+    A line of fewer fields, or whose starts are no numbers, is an error. Of lines alike in chrom, name and original start
+    one stands, the greatest new start.
+    """
+    parts = F.split("value", "\t")
+    rows = spark.read.text(path).where("value not like '#%' and value <> ''").select(parts.alias("p"))
+    whole = F.assert_true(F.size("p") >= 5, "a line of fewer than five fields").isNull()
+    rows = rows.where(whole).select(F.col("p")[0].alias("chrom"), F.col("p")[3].alias("fiber_id"), F.col("p")[4].cast("bigint").alias("ref_start"), F.col("p")[1].cast("bigint").alias("new_start"))
+    return rows.groupBy("chrom", "fiber_id", "ref_start").agg(F.max("new_start").alias("new_start"))
+
+
+def sam_header(spark: SparkSession, path: str) -> DataFrame:
+    """type and line (the fields behind the type) of each header record of SAM text."""
+    rows = spark.read.text(path).where("value like '@%'")
+    return rows.select(F.substring("value", 2, 2).alias("type"), F.expr("substring(value, 5)").alias("line"))
+
+
+def header_text(headers: DataFrame) -> DataFrame:
+    """value: the records (type, line) as header lines, HD first."""
+    return headers.orderBy(F.when(F.col("type") == "HD", 0).otherwise(1), "type", "line").select(F.concat(F.lit("@"), "type", F.lit("\t"), "line").alias("value"))

@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from spanforge.functions import codec, coords, scalars
-from spanforge.operators import calls, filters, intervals, peaks, stats, tags
+from spanforge.operators import calls, filters, intervals, kinetics, peaks, stats, tags
 from spanforge.sources import readers
 from spanforge.streaming import incremental
 
@@ -281,3 +282,86 @@ def test_peaks_of_planted_sites(spark):
     merged = peaks.merge_peaks(full).collect()
     assert 3 <= len(merged) < len(rows) or len(rows) == 3
     assert {min(sites, key=lambda s: abs(x.pos - s - 40)) for x in merged} >= {2000, 8000}
+
+
+def test_kinetics_windows_base_by_base():
+    r = random.Random(5)
+    seq = "".join(r.choice("ACGT") for _ in range(60))
+    n, other = len(seq), {"A": "T", "C": "G", "G": "C", "T": "A"}
+    fi, fp, ri, rp = ([r.randrange(256) for _ in range(n)] for _ in range(4))
+    made = kinetics.strands(seq, *(np.array(x) for x in (fi, fp, ri, rp)))
+    for code, base in (("T-a", "T"), ("A+a", "A")):
+        places, layers = made[code]
+        assert list(places) == [i for i, c in enumerate(seq) if c == base]
+        got = kinetics.windows(layers, places if code == "T-a" else n - 1 - places)
+        for p, w in zip(places, got):
+            for k in range(15):
+                # the window of A runs backwards on the other strand
+                at = p - 7 + k if code == "T-a" else p + 7 - k
+                if p < 7 or p + 8 > n:
+                    assert not w[:, k].any()
+                    continue
+                letter = seq[at] if code == "T-a" else other[seq[at]]
+                ip, pw = (fi[at], fp[at]) if code == "T-a" else (ri[n - 1 - at], rp[n - 1 - at])
+                assert list(w[:4, k]) == [float(letter == b) for b in "ACGT"]
+                assert np.allclose(w[4:, k], [ip / 255, pw / 255])
+
+
+def test_predict_skips_and_flips(spark):
+    seq, ones = "CCCCCCCCTCCCCCCCCC", [255] * 18
+    kinds = "fiber_id bigint, flag int, seq string, fi array<int>, fp array<int>, ri array<int>, rp array<int>"
+    back = seq.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    rows = [(1, 0, seq, ones, ones, ones, ones), (2, 256, seq, ones, ones, ones, ones), (3, 0, seq, None, ones, ones, ones), (4, 16, back, ones, ones, ones, ones), (5, 0, None, ones, ones, ones, ones), (6, 0, "T", [1], [1], [1], [1])]
+    mean = lambda w: w[:, 4].mean(axis=1)
+    got = kinetics.predict(spark.createDataFrame(rows, kinds), mean, [(0.0, 0), (1.0, 255)], 100)
+    assert sorted(tuple(x) for x in got.collect()) == [(1, "T-a", 8, 255), (4, "T-a", 8, 255)]
+    assert got.where("fiber_id < 0").count() == 0
+    assert list(kinetics.nearest_ml(np.array([-1.0, 0.25, 0.5, 0.51, 2.0]), [(0.0, 1), (1.0, 9)])) == [1, 1, 1, 9, 9]
+    with pytest.raises(ValueError):
+        kinetics.strands("ACGT", *(np.zeros(3),) * 4)
+
+
+def test_mock_reads_hold_their_items(spark):
+    contigs = spark.createDataFrame([("a", 25), ("b", 4), ("e", 0)], "chrom string, length bigint")
+    seqs = spark.createDataFrame([("a", "ACGTACGTACGTACGTACGTACGTA"), ("b", "GGCC")], "chrom string, seq string")
+    reads = tags.mock_reads(tags.plain_windows(contigs, 10), seqs)
+    got = sorted(tuple(x) for x in reads.collect())
+    assert got == [("a", 0, 10, 0, "10=", "ACGTACGTAC"), ("a", 10, 20, 2048, "10=", "GTACGTACGT"), ("a", 20, 25, 2048, "5=", "ACGTA"), ("b", 0, 4, 0, "4=", "GGCC")]
+    items = spark.createDataFrame([("a", 12, 15, "x%2Cy;z"), ("a", 8, 12, "cut"), ("b", 0, 4, "w")], "chrom string, start bigint, end bigint, name string")
+    marks = tags.on_mock_reads(reads, items)
+    assert sorted((r.chrom, r.ref_start, r.fwd_start, r.length) for r in marks.collect()) == [("a", 10, 2, 3), ("b", 0, 0, 4)]
+    bed = sorted(tuple(x) for x in tags.bed_of_mock_reads(marks).collect())
+    assert bed == [("a", 12, 15, ["x,y", "z"]), ("b", 0, 4, ["w"])]
+    assert tags.mock_windows(items.where("chrom = 'x'"), contigs, 10).collect() == [("b", 0, 4), ("e", 0, 0)]
+
+
+def test_peak_table_by_rows(spark):
+    found = spark.createDataFrame([("c", 10, 20, 15, 0.0123456789012), ("c", 40, 50, 45, 0.5), ("d", 1, 3, 2, 0.0)], "chrom string, start bigint, end bigint, pos bigint, fdr double")
+    kinds = "chrom string, start bigint, end bigint, coverage bigint, fire_coverage bigint, nuc bigint, msp bigint, score double, coverage_h1 bigint, fire_coverage_h1 bigint, nuc_h1 bigint, msp_h1 bigint, score_h1 double"
+    runs = spark.createDataFrame([("c", 0, 15, 1, 1, 1, 1, 1.0, 0, 0, 0, 0, -1.0), ("c", 15, 16, 9, 5, 3, 4, 12.5, 4, 2, 1, 1, 7.25), ("c", 40, 60, 99, 8, 7, 6, 2.0, 1, 0, 0, 1, -1.0)], kinds)
+    limits = spark.createDataFrame([("c", 4.0, 20.0)], "chrom string, least double, most double")
+    table = peaks.as_text(peaks.peak_table(found, runs, limits))
+    assert len(table.columns) == 21 and table.columns[:6] == ["chrom", "peak_start", "peak_end", "peak_max", "FDR", "coverage"]
+    got = ["\t".join(r) for r in table.orderBy("chrom", "peak_start").collect()]
+    none = "0\t0\t-1.00000\t0\t0"
+    assert got[0] == f"c\t10\t20\t15\t0.0123456789\t9\t5\t12.50000\t3\t4\t4\t2\t7.25000\t1\t1\t{none}\ttrue"
+    assert got[1].endswith(f"{none}\tfalse") and got[1].split("\t")[5] == "99"
+    assert got[2] == f"d\t1\t3\t2\t0.0000000000\t{none}\t{none}\t{none}\tfalse"
+
+
+def test_headers_and_shuffled_fibers(spark, tmp_path):
+    sam = tmp_path / "h.sam"
+    sam.write_text("@SQ\tSN:c\tLN:9\n@PG\tID:x\tPN:x\n@HD\tVN:1.6\n@PG\tID:y\tPN:y\tPP:x\nr1\t0\n")
+    headers = readers.sam_header(spark, str(sam))
+    assert [r.value for r in readers.header_text(headers).collect()] == ["@HD\tVN:1.6", "@PG\tID:x\tPN:x", "@PG\tID:y\tPN:y\tPP:x", "@SQ\tSN:c\tLN:9"]
+    once = tags.with_provenance(headers, "y", "1", "y run")
+    assert [r.line for r in once.where("line like '%CL:%'").collect()] == ["ID:y.1\tPN:y\tVN:1\tPP:y\tCL:y run"]
+    first = tags.with_provenance(headers.where("type = 'SQ'"), "y", "1", "y run")
+    assert [r.line for r in first.where("type = 'PG'").collect()] == ["ID:y\tPN:y\tVN:1\tCL:y run"]
+    bed = tmp_path / "s.bed"
+    bed.write_text("#chrom\tstart\nc\t100\t110\tf1\t5\nc\t7\t9\tf2\t70\n")
+    places = readers.shuffled_fibers(spark, str(bed))
+    fibers = spark.createDataFrame([("c", "f1", 5, 15), ("c", "f2", 71, 73)], "chrom string, fiber_id string, ref_start bigint, ref_end bigint")
+    from spanforge.operators.pileup import shuffled
+
+    assert [(r.fiber_id, r.ref_start, r.ref_end) for r in shuffled(fibers, places).collect()] == [("f1", 100, 110)]
