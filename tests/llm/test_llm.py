@@ -198,6 +198,22 @@ def test_line_dedup_groups_are_those_of_all_pairs(spark):
     assert sum(got[i] == got[j] for i, j in pairs) >= 0.97 * len(pairs)
 
 
+def test_line_dedup_compares_all_lines_of_a_large_bucket(spark):
+    """Many lines quote a passage; pairs of them are alike, but share no run of words beside it."""
+    r = random.Random(41)
+    words = made_words(r, 6000)
+    some = lambda n: [r.choice(words) for _ in range(n)]
+    passage, texts = some(60), []
+    for _ in range(14):
+        rest = some(30)
+        texts += [" ".join(passage + rest), " ".join(passage + [r.choice(words) if i % 3 == 0 else w for i, w in enumerate(rest)])]
+    texts += [" ".join(passage + some(30)) for _ in range(30)]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if similar(norm(texts[i]), norm(texts[j]))]
+    assert pairs == [(k + 1, k) for k in range(0, 28, 2)]
+    got = dropped(spark, texts)
+    assert [k for k in got if got[k][1]] == [i for i, _ in pairs]
+
+
 def test_edits_of_pieces_bound_those_of_lines(spark):
     r = random.Random(1)
     words, rows = made_words(r, 300), []
