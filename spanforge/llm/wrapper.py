@@ -12,12 +12,13 @@ comment (told by element, role, class or id). Votes alone can't tell these apart
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html import unescape
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ from spanforge.llm.common import BROADCAST_BYTES, materialize
 SHARE, LEAST_PAGES = 0.6, 5
 LAYOUTS, LAYOUT_DEPTH = 8, 4
 STEP_PAGES = 200
-#: Lists of children with more pairs than this are aligned from the left, each with the next like one.
-MOST_CELLS = 1 << 16
+#: Lists of children of this length or more are aligned by whole rows of the table; the sums are the same.
+WIDE = 48
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'>]|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -212,36 +213,54 @@ def children_match(a: list[Tree], b: list[Tree]):
     a, b = a[first : len(a) - end], b[first : len(b) - end]
     common = {x.label for x in a} & {y.label for y in b}
     a, b = [x for x in a if x.label in common], [y for y in b if y.label in common]
-    if len(a) * len(b) > MOST_CELLS:
-        places, at = {}, 0
-        for j, y in enumerate(b):
-            places.setdefault(y.label, []).append(j)
-        for x in a:
-            mine = places[x.label]
-            k = bisect_left(mine, at)
-            if k < len(mine):
-                pairs.append((x, b[mine[k]]))
-                at = mine[k] + 1
-        for x, y in pairs:
-            yield x, y
-        return pairs
-    best = [[0] * (len(b) + 1)]
-    for x in a:
-        row = [0]
-        for j, y in enumerate(b):
-            both = (yield x, y) if x.label == y.label else 0
-            row.append(max(best[-1][j + 1], row[j], best[-1][j] + both if both else 0))
-        best.append(row)
-    i, j = len(a), len(b)
+    sizes: dict[tuple[int, int], int] = {}
+    places: dict[str, dict[int, list[int]]] = {}
+    for j, y in enumerate(b):
+        places.setdefault(y.label, {}).setdefault(y.shape, []).append(j)
+
+    def row_after(last, x: Tree):
+        if len(b) < WIDE:
+            own = [sizes[x.shape, y.shape] if x.label == y.label else 0 for y in b]
+            row = [0]
+            for j, both in enumerate(own):
+                row.append(max(last[j + 1], row[j], last[j] + both if both else 0))
+            return row
+        own = np.zeros(len(b), np.int64)
+        for shape, at in places[x.label].items():
+            own[at] = sizes[x.shape, shape]
+        return np.concatenate(([0], np.maximum.accumulate(np.maximum(last[1:], last[:-1] + own))))
+
+    # one row of sums in ``every`` is kept, and the others are made again on the way back
+    every = max(64, isqrt(len(a)))
+    kept = {0: [0] * (len(b) + 1) if len(b) < WIDE else np.zeros(len(b) + 1, np.int64)}
+    block = dict(kept)
+    for i, x in enumerate(a, 1):
+        for shape, at in places[x.label].items():
+            if (x.shape, shape) not in sizes:
+                sizes[x.shape, shape] = yield x, b[at[0]]
+        if (i - 1) % every == 0:
+            block = {i - 1: kept[i - 1]}
+        block[i] = row_after(block[i - 1], x)
+        if i % every == 0:
+            kept[i] = block[i]
+    i, j, found = len(a), len(b), []
     while i and j:
-        if best[i][j] == best[i - 1][j]:
+        if i - 1 not in block:
+            base = (i - 1) // every * every
+            block = {base: kept[base]}
+            for k in range(base + 1, i + 1):
+                block[k] = row_after(block[k - 1], a[k - 1])
+        here, above = block[i], block[i - 1]
+        if here[j] == above[j]:
             i -= 1
-        elif best[i][j] == best[i][j - 1]:
+        elif here[j] == here[j - 1]:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            pairs.append((a[i], b[j]))
-    return pairs
+            found.append((a[i], b[j]))
+    for x, y in found:
+        yield x, y
+    return pairs + found
 
 
 def tree_match(a: Tree, b: Tree) -> tuple[int, dict[int, int]]:

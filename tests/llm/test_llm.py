@@ -444,6 +444,26 @@ def test_tree_match():
         assert [to[k] for k in sorted(to)] == sorted(to.values())
 
 
+def test_tree_match_is_the_largest_at_any_length():
+    """Lists of hundreds of children, against a plain table; one that a match from the left alone loses."""
+    r = random.Random(9)
+    for n, m, letters in ((300, 290, "abc"), (500, 400, "abcdefgh"), (70, 20, "ab"), (30, 90, "abc")):
+        x, y = ([r.choice(letters) for _ in range(k)] for k in (n, m))
+        a, b = (wrapper.tree("r(" + ",".join(f"{c}({c}x)" if k % 3 else c for k, c in enumerate(z)) + ")") for z in (x, y))
+        last = [0] * (m + 1)
+        for c in a.children:
+            row = [0]
+            for j, d in enumerate(b.children):
+                both = min(c.size, d.size) if c.label == d.label else 0
+                row.append(max(last[j + 1], row[j], last[j] + both))
+            last = row
+        size, to = wrapper.tree_match(a, b)
+        assert size == len(to) == 1 + last[-1]
+        assert [to[k] for k in sorted(to)] == sorted(to.values())
+    a, b = wrapper.tree("r(z," + "a,b," * 200 + "q)"), wrapper.tree("r(" + "a,b," * 200 + "z,a)")
+    assert wrapper.tree_match(a, b)[0] == 401
+
+
 def test_jpeg_round_trip(spark, docs, odd):
     r = np.random.default_rng(3)
     payloads = [r.integers(0, 256, n, dtype=np.uint8) for n in (64, 128, 64 * 70, 64 * 9000)] + [np.full(64, 255, np.uint8)]
