@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanforge.functions import codec, coords, scalars
-from spanforge.operators import calls, filters, intervals, kinetics, peaks, stats, tags
+from spanforge.operators import calls, filters, intervals, kinetics, peaks, stats, tags, views
+from spanforge.plans import catalogue
+from spanforge.plans import more  # noqa: F401
 from spanforge.sources import readers
 from spanforge.streaming import incremental
 
@@ -220,6 +222,65 @@ def test_overlap_sums_are_a_nested_loop(spark):
     assert intervals.overlap_sums(left, right.limit(0), ["id"]).count() == 0
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_overlap_self_semi_is_a_nested_loop(spark):
+    """Against all pairs; and no row is joined to rows, only to places."""
+    r = random.Random(17)
+    for n, span, length in ((150, 4000, 60), (200, 1500, 400), (60, 9000, 2500), (1, 10, 5)):
+        rows = [(f"c{r.randrange(2)}", s := r.randrange(span), s + r.randrange(1, length), i) for i in range(n)]
+        df = spark.createDataFrame(rows, "chrom string, start bigint, end bigint, i int")
+        for f in (0.05, 0.25, 0.9, 1.0):
+            want = sorted(x[3] for x in rows if any(y[3] != x[3] and y[0] == x[0] and min(x[2], y[2]) - max(x[1], y[1]) >= f * (x[2] - x[1]) for y in rows))
+            for tile in (32, 5000):
+                assert sorted(x.i for x in intervals.overlap_self_semi(df, f, tile).collect()) == want
+    # a hundred thousand rows at few places: 5e9 pairs
+    many = spark.range(100_000).select(F.lit("c").alias("chrom"), (F.col("id") % 50).alias("start"), (F.col("id") % 50 + 60 + F.col("id") % 7).alias("end"), "id")
+    assert intervals.overlap_self_semi(many, 0.25).count() == 100_000
+
+
+def test_pairs_are_the_same_broadcast_or_shuffled(spark, monkeypatch):
+    """Few points are broadcast and no pair is shuffled; many are not broadcast; the rows are the same."""
+    sf = "/root/testdata/sf0.001"
+    names = ["center_long", "center_long_dist", "center_spans", "center_sequence", "center_wide", "center_wide_cpg", "join_center_point", "join_motif_span", "footprint_codes", "footprint_long", "footprint_lists"]
+    small = {n: catalogue.QUERIES[n](spark, sf) for n in names}
+    assert all("SortMergeJoin" not in plan_of(small[n]).split("BroadcastHashJoin")[0] for n in names)
+    grouped = ["footprint_lists"]
+    assert all("Exchange hash" not in plan_of(small[n]).split("BroadcastHashJoin")[0] for n in names if n not in grouped)
+    monkeypatch.setattr(intervals, "SMALL", 0)
+    for n in names:
+        large = catalogue.QUERIES[n](spark, sf)
+        assert small[n].count() == large.count() and small[n].exceptAll(large).isEmpty()
+
+
+def test_footprint_sums_are_counts_of_codes(spark):
+    """Motifs of several lengths on both strands, fibers with and without elements, against the pairs."""
+    r = random.Random(29)
+    fibers = [(i, f"c{r.randrange(2)}", s := r.randrange(400), s + r.randrange(20, 300)) for i in range(60)]
+    marks = [(f[0], f[1], f[2], f[3], r.choice(["msp", "nuc", "m6a", "cpg"]), r.choice([100, 240, None]), s := r.randrange(f[2], f[3]), s + r.randrange(1, 90)) for f in fibers[:50] for _ in range(r.randrange(9))]
+    motifs = [(f"c{r.randrange(2)}", s := r.randrange(600), s + r.choice([5, 20, 35]), r.choice("+-"), k) for k in range(80)]
+    f = spark.createDataFrame(fibers, "fiber_id int, chrom string, ref_start bigint, ref_end bigint")
+    a = spark.createDataFrame(marks, "fiber_id int, chrom string, ref_start bigint, ref_end bigint, type string, qual int, r_start bigint, r_end bigint")
+    m = spark.createDataFrame(motifs, "chrom string, start bigint, end bigint, strand string, motif_id int")
+    modules = [(0, 8), (8, 16), (16, 35)]
+    codes = {(x.motif_id, x.fiber_id): (x.has_msp, x.has_fire, x.has_nuc, x.code) for x in views.footprint_codes(m, a, modules, fibers=f).collect()}
+    want = {}
+    for chrom, s, e, strand, k in motifs:
+        for i, c, lo, hi in fibers:
+            if c == chrom and s > lo and e < hi:
+                own = [x[4:] for x in marks if x[0] == i]
+                spans = [x for x in own if x[0] == "msp" and x[2] < s and x[3] > e]
+                places = [e - x[2] - 1 if strand == "-" else x[2] - s for x in own if x[0] == "m6a"]
+                code = bool(spans) + sum(2 << j for j, (p, q) in enumerate(modules) if not any(p <= x < q for x in places))
+                want[k, i] = (bool(spans), any((x[1] or 0) >= 229 for x in spans), any(x[0] == "nuc" and x[2] < e and x[3] > s for x in own), code)
+    assert codes == want and len(want) > 300
+    counts = views.footprint_counts(views.footprint_codes(m, a, modules, fibers=f), modules)
+    sums = views.footprint_sums(m, a, modules, 50, fibers=f).select(counts.columns)
+    assert sorted(map(tuple, sums.collect())) == sorted(map(tuple, counts.collect()))
+
+
 def test_fdr_table_by_rows(spark):
     """Against the rows one by one: cumulative from above, then the last of rows alike, four times."""
     r = random.Random(12)
