@@ -200,10 +200,7 @@ def join_region_anti(spark, d):
 
 @query('SELECT a.region_id FROM regions a WHERE EXISTS (SELECT 1 FROM regions b WHERE b.region_id <> a.region_id AND a.chrom = b.chrom AND least(a."end", b."end") - greatest(a.start, b.start) >= 0.25 * (a."end" - a.start))')
 def join_frac_overlap(spark, d):
-    r = T.regions(spark, d)
-    pairs = intervals.overlap_join(r, as_b(r, F.col("region_id").alias("b_id")))
-    enough = (F.least("end", "b_end") - F.greatest("start", "b_start")) >= F.lit(0.25) * (F.col("end") - F.col("start"))
-    return r.join(pairs.where((F.col("region_id") != F.col("b_id")) & enough).select("region_id").distinct(), "region_id", "left_semi").select("region_id")
+    return intervals.overlap_self_semi(T.regions(spark, d), 0.25).select("region_id")
 
 
 @query("SELECT fiber_id, chrom, (fiber_id * 31) % 20000 AS ref_start, (fiber_id * 31) % 20000 + read_length AS ref_end FROM fibers")
