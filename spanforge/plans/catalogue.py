@@ -510,7 +510,7 @@ def footprint_codes(spark, d):
 
 @query(CODES + " SELECT motif_id, count(*) AS n_spanning_fibers, count(*) FILTER (has_msp) AS n_spanning_msps, count(*) FILTER (has_fire) AS n_spanning_fires, count(*) FILTER (has_nuc) AS n_overlapping_nucs, " + ", ".join(f"count(*) FILTER (code & 1 > 0 AND code & {1 << (i + 1)} > 0) AS module_{a}_{b}" for i, (a, b) in enumerate(MODULES)) + " FROM codes GROUP BY 1")
 def footprint_counts(spark, d):
-    return views.footprint_counts(codes(spark, d), MODULES)
+    return views.footprint_sums(motif_rows(spark, d), T.annotations(spark, d), MODULES, fibers=T.fibers(spark, d))
 
 
 @query(CODES + " SELECT motif_id, fiber_id, code & 1 AS has_spanning_msp, module::INTEGER AS module, (code & (1 << (module + 1)::INTEGER) > 0)::INTEGER AS footprinted FROM codes, (SELECT unnest(range(0, 4)) AS module)")
