@@ -214,6 +214,35 @@ def test_line_dedup_compares_all_lines_of_a_large_bucket(spark):
     assert [k for k in got if got[k][1]] == [i for i, _ in pairs]
 
 
+def test_line_dedup_writes_no_pairs_of_a_large_bucket(spark, monkeypatch):
+    """Of lines that quote one passage and are unlike, only a few rows a line are written, and the few links are found."""
+    r = random.Random(43)
+    words = made_words(r, 6000)
+    some = lambda n: [r.choice(words) for _ in range(n)]
+    passage, texts, written = some(60), [], []
+    for _ in range(120):
+        rest = some(30)
+        texts += [" ".join(passage + rest)]
+    texts += [" ".join(passage + [r.choice(words) if i % 3 == 0 else w for i, w in enumerate(x.split()[60:])]) for x in texts[:5]]
+    plain = line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name: written.append((name, plain(df, name))) or written[-1][1])
+    monkeypatch.setattr(line_dedup, "discard", lambda *frames: None)
+    got = dropped(spark, texts)
+    assert [k for k in got if got[k][1]] == [k for k in range(120, 125) if similar(norm(texts[k]), norm(texts[k - 120]))] != []
+    rows = {name: df.count() for name, df in written}
+    assert max(rows.values()) <= 12 * len(texts), rows
+
+
+def test_bags_hold_equal_words_as_often(spark):
+    r = random.Random(2)
+    words = made_words(r, 30)
+    lines = [" ".join(r.choice(words) for _ in range(r.randrange(1, 60))) for _ in range(60)]
+    rows = spark.createDataFrame(list(zip(lines[::2], lines[1::2], strict=True)), "x string, y string")
+    got = rows.select("x", "y", F.size(F.array_intersect(line_dedup.bag(F.col("x")), line_dedup.bag(F.col("y")))).alias("n")).collect()
+    assert all(p.n == sum((collections.Counter(p.x.split()) & collections.Counter(p.y.split())).values()) for p in got)
+    assert spark.createDataFrame([(" ".join(words * 200),)], "x string").select(line_dedup.bag(F.col("x"))).first()[0] is None
+
+
 def test_edits_of_pieces_bound_those_of_lines(spark):
     r = random.Random(1)
     words, rows = made_words(r, 300), []
