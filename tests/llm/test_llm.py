@@ -233,6 +233,27 @@ def test_line_dedup_writes_no_pairs_of_a_large_bucket(spark, monkeypatch):
     assert max(rows.values()) <= 12 * len(texts), rows
 
 
+def test_line_dedup_deals_out_a_large_bucket_by_length(spark, monkeypatch):
+    """The lines of one bucket meet by length class, also across the border of two; bits bound what one bag alone has."""
+    r = random.Random(47)
+    words = made_words(r, 3000)
+    x = [r.choice(words) for _ in range(400)]
+    texts = [" ".join(x[: n + 12 * n // 100]) for n in range(20, 320, 9)]
+    lines = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "line bigint, norm string, simhash bigint")
+    crowded = lines.select(F.lit(7).cast("bigint").alias("key"), "line", F.char_length("norm").alias("chars"))
+    plain, plans = line_dedup.materialize, {}
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name: plans.update({name: df._jdf.queryExecution().sparkPlan().toString()}) or plain(df, name))
+    none = spark.createDataFrame([], "id bigint, root bigint")
+    got = line_dedup.links_apart(crowded, none, lines.select("line", "norm"), lines.select("line", "simhash"), 0.8).collect()
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if similar(texts[i], texts[j])}
+    assert len(got) == len(want) and {(min(p), max(p)) for p in got} == want != set()
+    assert "wide_a" in next(x for x in plans["ld-apart"].splitlines() if "Join" in x)
+    bags = lines.select("line", line_dedup.bag(F.col("norm")).alias("bag")).select("line", F.array_sort("bag").alias("bag"), *line_dedup.bag_bits()).collect()
+    for a, b in zip(bags, bags[::-1]):
+        alone = sum(bin(a[f"s{j}"] & ~b[f"s{j}"] & (1 << 64) - 1).count("1") for j in range(line_dedup.SIGNED))
+        assert alone <= len(set(a.bag) - set(b.bag)) and (alone > 0) == (len(a.bag) > len(b.bag))
+
+
 def test_bags_hold_equal_words_as_often(spark):
     r = random.Random(2)
     words = made_words(r, 30)
